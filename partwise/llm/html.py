@@ -2,7 +2,7 @@
 
 A page becomes a tree: block elements, and as leaves the runs of text between block borders. Each node has a hidden state,
 content or not. Its look (tag, words of class and id; for text: length, share of links, sentence end, parent's tag) gives a node potential,
-its parent's state an edge potential. Sum-product messages go up from the leaves and down from the root, and a run
+its parent's state an edge potential, by the kind of node. Sum-product messages go up from the leaves and down from the root, and a run
 of text belongs to the article if its marginal of content is over one half. Potentials are smoothed counts over labelled
 pages; `labelled_pages` makes those from a seed: random layouts of menus, headers, sidebars, adverts, notices, forms,
 comments and articles, whose labels are known. Their number is a parameter.
@@ -142,23 +142,31 @@ def features(look: tuple) -> list[str]:
     return [f"tag {tag}", *(f"word {k}" for k in kinds), *(["hidden"] if HIDDEN.search(more) else [])]
 
 
+FLOW = set("p li h1 h2 h3 h4 h5 h6 dt dd tr pre figcaption label legend summary".split())
+
+
+def kind_of(look: tuple) -> int:
+    """0: a run of text, 1: an element that holds running text, 2: another element."""
+    return 0 if look[0] == "#text" else 1 if look[0] in FLOW else 2
+
+
 class Model:
-    """Potentials: node[feature] = (not content, content); edge[parent's state][child's state]."""
+    """Potentials: node[feature] = (not content, content); edge[kind of node][parent's state][child's state]."""
 
     def __init__(self, pages: list[tuple[str, list[str]]]):
         """pages: markup with the texts of its runs that are content."""
         seen = defaultdict(lambda: [0.5, 0.5])
-        states, edges = [1.0, 1.0], [[1.0, 1.0], [1.0, 1.0]]
+        states, edges = [1.0, 1.0], [[[1.0, 1.0], [1.0, 1.0]] for _ in range(3)]
         for page, content in pages:
             tree, own = Tree(page), Counter(content)
             state = self._states(tree, own)
             for i in range(1, len(state)):
                 states[state[i]] += 1
-                edges[state[tree.parent[i]]][state[i]] += 1
+                edges[kind_of(tree.look[i])][state[tree.parent[i]]][state[i]] += 1
                 for f in features(tree.look[i]):
                     seen[f][state[i]] += 1
         self.node = {f: (n / states[0], m / states[1]) for f, (n, m) in seen.items()}
-        self.edge = [[x / sum(row) for x in row] for row in edges]
+        self.edge = [tuple(x / sum(row) for row in each for x in row) for each in edges]
         self.memo: dict[tuple, tuple[float, float]] = {}
 
     @staticmethod
@@ -180,7 +188,8 @@ class Model:
                 state[i] = 0
         return state
 
-    def potential(self, look: tuple) -> tuple[float, float]:
+    def potential(self, look: tuple) -> tuple[float, float, tuple]:
+        """The node's two potentials and its edge's four."""
         if (p := self.memo.get(look)) is None:
             a = b = 1.0
             for f in features(look):
@@ -188,21 +197,23 @@ class Model:
                 a, b = a * x, b * y
             if len(self.memo) > 50_000:
                 self.memo.clear()
-            p = self.memo[look] = (a / (a + b), b / (a + b))
+            p = self.memo[look] = (a / (a + b), b / (a + b), self.edge[kind_of(look)])
         return p
 
     def marginals(self, tree: Tree) -> list[float]:
         """The probability of content of each node."""
-        (e00, e01), (e10, e11) = self.edge
         parent, n = tree.parent, len(tree.parent)
+        edges = [self.edge[2]] * n
         below0, below1, up0, up1 = [1.0] * n, [1.0] * n, [1.0] * n, [1.0] * n
-        for i in range(n):
-            below0[i], below1[i] = self.potential(tree.look[i]) if i else (1.0, 0.0)
+        below1[0] = 0.0
+        for i in range(1, n):
+            below0[i], below1[i], edges[i] = self.potential(tree.look[i])
         for i in range(n - 1, 0, -1):  # upward: children come after their parents
             a, b = below0[i], below1[i]
             s = a + b
             a, b = a / s, b / s
             below0[i], below1[i] = a, b
+            e00, e01, e10, e11 = edges[i]
             x, y = e00 * a + e01 * b, e10 * a + e11 * b
             up0[i], up1[i] = x, y
             p = parent[i]
@@ -213,6 +224,7 @@ class Model:
         belief0, belief1 = below0[:], below1[:]
         for i in range(1, n):  # downward: the parent's belief without this child's message
             p = parent[i]
+            e00, e01, e10, e11 = edges[i]
             x, y = belief0[p] / up0[i], belief1[p] / up1[i]
             a, b = below0[i] * (x * e00 + y * e10), below1[i] * (x * e01 + y * e11)
             s = a + b
@@ -264,21 +276,24 @@ def labelled_pages(pages: int = 400, seed: int = 5) -> list[tuple[str, list[str]
         inner = [put("h1", words(1, 10))] if rng.random() < 0.8 else []
         for _ in range(rng.randint(1, 14)):
             pick = rng.random()
-            if pick < 0.75:
+            if pick < 0.66:
                 inner.append(put("p", sentence(1, 120)))
-            elif pick < 0.82:
+            elif pick < 0.74:
                 inner.append(put(rng.choice(("h2", "h3")), words(1, 7)))
             elif pick < 0.88:
-                inner.append("<ul>" + "".join(put("li", sentence(1, 25)) for _ in range(rng.randint(1, 5))) + "</ul>")
+                inner.append("<ul>" + "".join(put("li", sentence(1, 25)) for _ in range(rng.randint(1, 8))) + "</ul>")
             elif pick < 0.92:
                 inner.append("<blockquote>" + put("p", sentence(5, 50)) + "</blockquote>")
             elif pick < 0.95:
-                inner.append(aside())
+                kind = rng.choice(("ad", "share", "notice", "side"))
+                inner.append(rng.choice((aside(), f"<p{attr(kind)}>{sentence(2, 20)}</p>")))
             else:
                 inner.append("<figure>" + put("figcaption", sentence(2, 12)) + "</figure>")
         tag = rng.choice(("article", "article", "main", "div", "section"))
         body = f"<{tag}{attr('main') if tag in ('div', 'section') or rng.random() < 0.4 else ''}>{''.join(inner)}</{tag}>"
-        if rng.random() < 0.3:
+        if rng.random() < 0.1:  # the article stands in the body, in nothing of its own
+            body = "".join(inner)
+        elif rng.random() < 0.3:
             body = f"<div{attr('main') if rng.random() < 0.5 else ''}>{aside()}{body}{aside()}</div>"
         before, after = ("".join(aside() for _ in range(rng.randint(0, 4))) for _ in range(2))
         texts = set(content)
