@@ -81,23 +81,29 @@ def schedule(weights: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, per_bucket: int = 4096) -> DataFrame:
-    """rows with _nth: the row's number (from 0) in its source, by the order of a hash of all its columns."""
+def _key(source: str | Column) -> Column:
+    """The source as a text that isn't null, so that windows and joins on it share one shuffle."""
+    source = F.col(source) if isinstance(source, str) else source
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def numbered(rows: DataFrame, per_bucket: int = 1024) -> DataFrame:
+    """rows with _key and _nth: the row's number (from 0) in its source, by the order of a hash of all its columns.
+
+    Buckets are the hash's leading bits, so many that the largest source has about per_bucket rows in each.
+    """
     names = rows.columns
-    hashed = rows.withColumn("_hash", F.xxhash64(*names))
-    # buckets by the hash's leading bits: so many that the largest source has about per_bucket rows in each
-    total = rows.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
-    bits = total.select(F.greatest(F.lit(0), F.least(F.lit(30), F.ceil(F.log2(F.col("most") / per_bucket)))).cast("int").alias("_bits"))
-    hashed = hashed.join(F.broadcast(bits)).withColumn(
-        "_bucket", F.shiftright(F.col("_hash"), 32).cast("long") + (1 << 31)
-    ).withColumn("_bucket", F.expr("cast(floor(_bucket / pow(2, 32 - _bits)) as long)")).drop("_bits")
-    sizes = hashed.groupBy("source", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("source", "_bucket").orderBy("_hash", *[c for c in names if c != "source"])
+    most = rows.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    bits = most.select(F.greatest(F.lit(0), F.least(F.lit(31), F.ceil(F.log2(F.col("most") / per_bucket)))).cast("int").alias("_bits"))
+    top = F.shiftright("_hash", 32).cast("long") + (1 << 31)  # 32 bits, not negative
+    bucket = F.floor(top / F.pow(F.lit(2.0), 32 - F.col("_bits"))).cast("long")
+    hashed = rows.withColumn("_hash", F.xxhash64(*names)).join(F.broadcast(bits)).withColumn("_bucket", bucket).withColumn("_key", _key("source")).drop("_bits")
+    sizes = hashed.groupBy("_key", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_key", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_key", "_bucket").orderBy("_hash", *[c for c in names if c != "source"])
     ranked = hashed.withColumn("_rank", F.row_number().over(within))
-    same = ranked["source"].eqNullSafe(offsets["source"]) & (ranked["_bucket"] == offsets["_bucket"])
-    return ranked.join(offsets, same, "left").select(*[ranked[c] for c in names], (F.col("_before") + F.col("_rank") - 1).alias("_nth"))
+    return ranked.join(offsets, ["_key", "_bucket"]).select(*names, "_key", (F.col("_before") + F.col("_rank") - 1).alias("_nth"))
 
 
 def mixed(rows: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -124,12 +130,12 @@ def mixed(rows: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS,
     )
     given = placed.groupBy(F.col("s1").alias("s2"), F.col("blocks").alias("b2"), F.col("a").alias("a2")).agg(F.sum("turns").alias("given"))
     own = numbered(rows).withColumn("block", F.floor(F.col("_nth") / block_rows)).withColumn("nth", F.col("_nth") % block_rows)
-    turns = own.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("s2"))).withColumn(
+    turns = own.join(F.broadcast(given), F.col("_key") == _key("s2")).withColumn(
         "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("given") - 1 - F.col("block")) / F.col("b2"))))
     )
     turns = turns.withColumn("_j", F.col("block") + F.col("epoch") * F.col("b2"))
     at = plan.select(F.col("source").alias("s3"), F.col("k").alias("k3"), F.col("slot").alias("slot3"))
-    joined = turns.join(F.broadcast(at), F.col("source").eqNullSafe(F.col("s3")) & (F.col("_j") % F.col("a2") == F.col("k3")))
+    joined = turns.join(F.broadcast(at), (F.col("_key") == _key("s3")) & (F.col("_j") % F.col("a2") == F.col("k3")))
     return joined.select(
         *names,
         "block",
