@@ -77,10 +77,9 @@ def kmer_frequencies(sequence: Column, k: int) -> Column:
     """Frequencies of the 4**k k-mers, in ATGC order; windows with other letters count only in the denominator."""
     s = F.translate(_text(sequence), "U", "T")
     windows = F.greatest(F.length(s) - (k - 1), F.lit(1)).cast("double")
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))
     kinds = ["".join(x) for x in product(BASES, repeat=k)]
-    count = lambda kind: F.size(F.filter(at, lambda w: w == F.lit(kind)))
-    return F.array(*[count(kind) / windows for kind in kinds])
+    # a look-ahead matches at every position, overlapping ones included
+    return F.array(*[F.regexp_count(s, F.lit(f"(?={x})")) / windows for x in kinds])
 
 
 def sequence_properties(sequence: Column) -> dict[str, Column]:

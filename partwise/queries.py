@@ -132,16 +132,15 @@ def nucleotide_composition(spark, d):
     return rows.select("doc_id", *[(c if k == "length" else F.round(c, 9)).alias(k) for k, c in sequences.nucleotide_composition(F.col("text")).items()])
 
 
-def _kmers(k: int) -> str:
-    from itertools import product
+def _pair(x: str, y: str) -> str:
+    """Positions of a pair of letters; of a double letter: its occurrences less its runs."""
+    return _n(x + y) if x != y else f"(length(s) - length(replace(s, '{x}', '')) - len(regexp_extract_all(s, '(?:^|[^{x}]){x}')))"
 
-    kinds = ["".join(x) for x in product("ATGC", repeat=k)]
-    each = ", ".join(f"round(count_if(w = '{x}') / max(m), 9)" for x in kinds)
-    return f"""SELECT doc_id, [{each}] AS freq FROM (SELECT doc_id, greatest(length(s) - {k - 1}, 1) AS m, unnest(list_transform(range(1, greatest(length(s) - {k - 1}, 1) + 1), lambda i: substr(s, i, {k}))) AS w
-        FROM (SELECT doc_id, {_S} AS s FROM documents)) GROUP BY doc_id"""
 
+_PAIRS = ", ".join(f"round({_pair(x, y)} / CAST(greatest(length(s) - 1, 1) AS DOUBLE), 9)" for x in "ATGC" for y in "ATGC")
 
-@query(_kmers(2))
+
+@query(f"SELECT doc_id, [{_PAIRS}] AS freq FROM (SELECT doc_id, {_S} AS s FROM documents)")
 def kmer2_frequencies(spark, d):
     own = sequences.kmer_frequencies(F.col("text"), 2)
     return _read(spark, d, "documents").select("doc_id", F.transform(own, lambda x: F.round(x, 9)).alias("freq"))
