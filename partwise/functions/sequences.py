@@ -82,11 +82,16 @@ def kmer_frequencies(sequence: Column, k: int) -> Column:
     return F.array(*[F.regexp_count(s, F.lit(f"(?={x})")) / windows for x in kinds])
 
 
-def sequence_properties(sequence: Column) -> dict[str, Column]:
-    """Sixteen features; unknown residues count only in the length."""
+def residue_counts(sequence: Column) -> dict[str, Column]:
+    """length and the count of each residue. Selected first, they are computed once for all properties."""
     s = _text(sequence)
-    n = F.length(s).cast("double")
-    each = {x: counted(s, x) for x in AMINO_ACIDS}
+    return {"length": F.length(s).cast("double")} | {x: counted(s, x) for x in AMINO_ACIDS}
+
+
+def sequence_properties(sequence: Column | None, counts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Sixteen features; unknown residues count only in the length. counts: columns that hold residue_counts already."""
+    each = counts or residue_counts(sequence)
+    n = each["length"]
     sums = [sum((each[x] * F.lit(float(v[i])) for x, v in AMINO_ACIDS.items()), F.lit(0.0)) for i in range(7)]
     mean = lambda i: _share(sums[i], n)
     out = {

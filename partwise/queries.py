@@ -160,8 +160,10 @@ FROM (SELECT doc_id, CAST(length(s) AS DOUBLE) AS n, {", ".join(f"{x} AS s{i}" f
  FROM (SELECT doc_id, {_P} AS s FROM documents))""")
 def sequence_properties(spark, d):
     places = {"length": None, "molecular_weight": 4}
-    cols = sequences.sequence_properties(F.col("text"))
-    return _read(spark, d, "documents").select("doc_id", *[(c if k == "length" else F.round(c, places.get(k, 6))).alias(k) for k, c in cols.items()])
+    counts = sequences.residue_counts(F.col("text"))
+    rows = _read(spark, d, "documents").select("doc_id", *[c.alias(f"n_{k}") for k, c in counts.items()])
+    cols = sequences.sequence_properties(None, {k: F.col(f"n_{k}") for k in counts})
+    return rows.select("doc_id", *[(c if k == "length" else F.round(c, places.get(k, 6))).alias(k) for k, c in cols.items()])
 
 
 # A few elements' atomic number and mass, enough for the formulas above.
