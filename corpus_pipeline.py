@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partwise.llm import bpe, dedup, mixing, quality, toxicity
-from partwise.llm.common import remainder, staged, table
+from partwise.llm.common import put_back, remainder, set_aside, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,24 +19,28 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents of a quality score of 0.7 or more stay."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
     space = quality.learn(table(spark, sf_dir, "documents", "doc_id", "text"), labels, remainder("doc_id", 4) != 2)
-    return quality.score(docs, space, tuple(docs.columns)).where("score >= 0.7").select(*docs.columns)
+    own, names = set_aside(docs, "text")
+    return put_back(quality.score(own, space, tuple(own.columns)).where("score >= 0.7"), names)
 
 
 def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity score under 0.5 stay."""
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     grammar = toxicity.learn(table(spark, sf_dir, "documents", "doc_id", "text"), labels, remainder("doc_id", 5) != 0)
-    return toxicity.score(docs, grammar, tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    own, names = set_aside(docs, "text")
+    return put_back(toxicity.score(own, grammar, tuple(own.columns)).where("score < 0.5"), names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays."""
-    return dedup.near_duplicates(docs).where("kept").select(*docs.columns)
+    own, names = set_aside(docs, "doc_id", "text")
+    return put_back(dedup.near_duplicates(own).where("kept"), names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture, with as many copies of a row as its source's target weight asks for."""
-    return mixing.mixed(docs).select(*docs.columns)
+    own, names = set_aside(docs, "source")
+    return put_back(mixing.mixed(own), names)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with all columns but the used ones under names that nothing else has, and those names by the true ones."""
+    names = {c: c if c in used else f"_carried{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[df[c].alias(n) for c, n in names.items()]), names
+
+
+def put_back(df: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """The columns under their true names, then `more`; a carried column with the name of one of these is replaced by it."""
+    return df.select(*[df[n].alias(c) for c, n in names.items() if c not in more], *more)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from partwise.llm.common import column, slices, staged, with_columns
+from partwise.llm.common import column, put_back, set_aside, slices, staged, with_columns
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 7
 #: By so many coordinates the bands for members without a link are longer.
@@ -247,8 +247,9 @@ def links(nodes: DataFrame, sketches: DataFrame, threshold: float, width: int, s
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH
 ) -> DataFrame:
-    """docs with class_id (doc_id of the class's kept row), class_size, kept (true for one row of each class)."""
-    names = docs.columns
+    """docs with class_id (doc_id of the class's kept row), class_size, kept (true for one row of each class); columns of docs with
+    these names are replaced."""
+    docs, names = set_aside(docs, "doc_id", "text")
     sketches = staged(_sketch(docs, bands, rows, width))
     exact = staged(sketches.groupBy("digest").agg(F.min("uid").alias("node"), F.count("*").alias("n")))
     found = links(exact.select("node"), sketches, threshold, width)
@@ -260,4 +261,5 @@ def near_duplicates(
         .join(sketches.select(F.col("uid").alias("root"), F.col("doc_id").alias("class_id")), "root")
     )
     told = staged(nodes.join(staged(classes), "root").select("digest", "root", "class_id", "class_size"))
-    return sketches.join(told, "digest").select(*names, "class_id", "class_size", (F.col("uid") == F.col("root")).alias("kept"))
+    found = sketches.join(told, "digest").withColumn("kept", F.col("uid") == F.col("root"))
+    return put_back(found, names, "class_id", "class_size", "kept")

@@ -145,9 +145,13 @@ def features(look: tuple) -> list[str]:
 FLOW = set("p li h1 h2 h3 h4 h5 h6 dt dd tr pre figcaption label legend summary".split())
 
 
-def kind_of(look: tuple) -> int:
-    """0: a run of text, 1: an element that holds running text, 2: another element."""
-    return 0 if look[0] == "#text" else 1 if look[0] in FLOW else 2
+OUTER = {"root", "html", "body"}
+
+
+def kind_of(look: tuple, above: tuple) -> int:
+    """0: a run of text, 1: an element that holds running text, 2: another element; 3 and 4: the first two right in the body."""
+    outer = above[0] in OUTER
+    return (3 if outer else 0) if look[0] == "#text" else (4 if outer else 1) if look[0] in FLOW else 2
 
 
 class Model:
@@ -156,13 +160,13 @@ class Model:
     def __init__(self, pages: list[tuple[str, list[str]]]):
         """pages: markup with the texts of its runs that are content."""
         seen = defaultdict(lambda: [0.5, 0.5])
-        states, edges = [1.0, 1.0], [[[1.0, 1.0], [1.0, 1.0]] for _ in range(3)]
+        states, edges = [1.0, 1.0], [[[1.0, 1.0], [1.0, 1.0]] for _ in range(5)]
         for page, content in pages:
             tree, own = Tree(page), Counter(content)
             state = self._states(tree, own)
             for i in range(1, len(state)):
                 states[state[i]] += 1
-                edges[kind_of(tree.look[i])][state[tree.parent[i]]][state[i]] += 1
+                edges[kind_of(tree.look[i], tree.look[tree.parent[i]])][state[tree.parent[i]]][state[i]] += 1
                 for f in features(tree.look[i]):
                     seen[f][state[i]] += 1
         self.node = {f: (n / states[0], m / states[1]) for f, (n, m) in seen.items()}
@@ -188,8 +192,7 @@ class Model:
                 state[i] = 0
         return state
 
-    def potential(self, look: tuple) -> tuple[float, float, tuple]:
-        """The node's two potentials and its edge's four."""
+    def potential(self, look: tuple) -> tuple[float, float]:
         if (p := self.memo.get(look)) is None:
             a = b = 1.0
             for f in features(look):
@@ -197,7 +200,7 @@ class Model:
                 a, b = a * x, b * y
             if len(self.memo) > 50_000:
                 self.memo.clear()
-            p = self.memo[look] = (a / (a + b), b / (a + b), self.edge[kind_of(look)])
+            p = self.memo[look] = (a / (a + b), b / (a + b))
         return p
 
     def marginals(self, tree: Tree) -> list[float]:
@@ -207,7 +210,8 @@ class Model:
         below0, below1, up0, up1 = [1.0] * n, [1.0] * n, [1.0] * n, [1.0] * n
         below1[0] = 0.0
         for i in range(1, n):
-            below0[i], below1[i], edges[i] = self.potential(tree.look[i])
+            below0[i], below1[i] = self.potential(tree.look[i])
+            edges[i] = self.edge[kind_of(tree.look[i], tree.look[parent[i]])]
         for i in range(n - 1, 0, -1):  # upward: children come after their parents
             a, b = below0[i], below1[i]
             s = a + b
@@ -255,7 +259,7 @@ def labelled_pages(pages: int = 400, seed: int = 5) -> list[tuple[str, list[str]
         own = attr(kind) if tag in ("div", "section", "ol") or rng.random() < 0.5 else ""
         body = {
             "nav": lambda: links(rng.randint(2, 9)),
-            "comment": lambda: "".join(f'<{t}{attr("comment")}><p>{sentence(3, 40)}</p></{t}>' for t in [rng.choice(("div", "article", "li"))] for _ in range(rng.randint(1, 6))),
+            "comment": lambda: "".join(f'<{t}{attr("comment")}><p>{sentence(3, 40)}</p></{t}>' for t in [rng.choice(("div", "div", "div", "div", "li", "li", "li", "article"))] for _ in range(rng.randint(1, 6))),
             "form": lambda: f"<label>{words(1, 3)}</label><input><p>{words(1, 5)}</p>",
             "side": lambda: f"<h3>{words(1, 4)}</h3>" + rng.choice((links(4), f"<p>{sentence(4, 30)}</p>")),
             "footer": lambda: rng.choice((f"&copy; {words(2, 9)}", f"<p>{sentence(3, 20)}</p>" + links(3))),
@@ -274,10 +278,10 @@ def labelled_pages(pages: int = 400, seed: int = 5) -> list[tuple[str, list[str]
             return f"<{tag}>{marked}{end}"
 
         inner = [put("h1", words(1, 10))] if rng.random() < 0.8 else []
-        for _ in range(rng.randint(1, 14)):
+        for _ in range(rng.choice((1, 2, rng.randint(1, 14)))):
             pick = rng.random()
             if pick < 0.66:
-                inner.append(put("p", sentence(1, 120)))
+                inner.append(put("p", sentence(1, rng.choice((4, 30, 120)))))
             elif pick < 0.74:
                 inner.append(put(rng.choice(("h2", "h3")), words(1, 7)))
             elif pick < 0.88:
@@ -289,7 +293,7 @@ def labelled_pages(pages: int = 400, seed: int = 5) -> list[tuple[str, list[str]
                 inner.append(rng.choice((aside(), f"<p{attr(kind)}>{sentence(2, 20)}</p>")))
             else:
                 inner.append("<figure>" + put("figcaption", sentence(2, 12)) + "</figure>")
-        tag = rng.choice(("article", "article", "main", "div", "section"))
+        tag = rng.choice(("article", "article", "article", "main", "div", "section"))
         body = f"<{tag}{attr('main') if tag in ('div', 'section') or rng.random() < 0.4 else ''}>{''.join(inner)}</{tag}>"
         if rng.random() < 0.1:  # the article stands in the body, in nothing of its own
             body = "".join(inner)

@@ -1,6 +1,6 @@
 """Quality rules by cross-document line frequency.
 
-Every text gets base figures (words, symbols, repeated lines and windows). Its lines are normalised (lower case, digits as 0,
+Every text gets base figures (words, symbols, repeated lines and windows). Its lines are normalised (lower case, numbers as 0,
 white space collapsed) and hashed; for each host the distinct texts that hold a line are counted. A line above its host's
 limit - max(least, share of the host's distinct texts) - is removed, and a document with less than `left` of its words in the
 remaining lines is depleted: rejected. Exact copies count once, since removing them is deduplication's work.
@@ -30,7 +30,7 @@ from partwise.llm.common import column, slices, staged, with_columns
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEATS_PERCENT = 50, 50
 LEAST, SHARE, LEFT = 50, 0.02, 0.5
-_DIGIT = re.compile(r"\d")
+_DIGIT = re.compile(r"\b\d+\b")
 
 
 def repeated_words(words: list[bytes]) -> int:

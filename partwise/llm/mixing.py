@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partwise.llm.common import put_back, set_aside
+
 SLOTS, BLOCK_ROWS, TEMPERATURE = 1024, 32, 0.9
 
 
@@ -109,8 +111,10 @@ def numbered(rows: DataFrame, per_bucket: int = 1024) -> DataFrame:
 def mixed(rows: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """rows with block (of its source), epoch, slot (of its block in the mixture), release, deadline and nth (in its block).
 
-    weights: (source, n, weight) of the rows' sources; tempered() if none are given. Order the result by slot and nth.
+    weights: (source, n, weight) of the rows' sources; tempered() if none are given. Order the result by slot and nth. Columns of
+    rows with these names are replaced.
     """
+    rows, carried = set_aside(rows, "source")
     names = rows.columns
     sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
     weights = tempered(sizes) if weights is None else weights
@@ -136,7 +140,7 @@ def mixed(rows: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS,
     turns = turns.withColumn("_j", F.col("block") + F.col("epoch") * F.col("b2"))
     at = plan.select(F.col("source").alias("s3"), F.col("k").alias("k3"), F.col("slot").alias("slot3"))
     joined = turns.join(F.broadcast(at), (F.col("_key") == _key("s3")) & (F.col("_j") % F.col("a2") == F.col("k3")))
-    return joined.select(
+    placed = joined.select(
         *names,
         "block",
         "epoch",
@@ -145,3 +149,4 @@ def mixed(rows: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS,
         F.ceil((F.col("_j") + 1) * slots / F.col("a2")).alias("deadline"),
         "nth",
     )
+    return put_back(placed, carried, "block", "epoch", "slot", "release", "deadline", "nth")
