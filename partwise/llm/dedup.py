@@ -12,8 +12,8 @@ buckets are dealt anew by longer bands, of 10 and of 14 coordinates, and compare
 weighted Jaccard similarity is at least the threshold. Classes are the connected components of the links.
 
 With 32 bands a pair of similarity 0.8 shares no bucket with probability 0.0005, one of 0.85 with 0.000005. In groups of more than 8 that share a
-bucket, a pair of which neither side links to a centre is found by the longer bands: at 0.9 with probability 0.9998, at 0.85 0.97,
-at 0.8 0.76. Work is linear in the rows whatever the size of a group.
+bucket, a pair of which neither side links to a centre shares a longer bucket with probability 0.9998 at similarity 0.9, 0.97 at 0.85, 0.76 at 0.8, and is
+compared there only if one of the two is that bucket's centre: such links can be lost. Work is linear in the rows whatever the size of a group.
 
 Hot groups: counts and minima are pre-aggregated; joins read staged tables, so AQE splits a hot copy, bucket or centre.
 
