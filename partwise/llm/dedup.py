@@ -215,30 +215,42 @@ def components(edges: DataFrame) -> DataFrame:
         e = staged(small.unionByName(least.select("u", F.col("root").alias("v"))).distinct())
 
 
+def _centres(rows: DataFrame) -> DataFrame:
+    """(key, n, centre, alone_c) of each bucket of several rows (key, node, score, alone): the centre is the member of the highest score."""
+    most = F.max(F.struct("score", "node", "alone")).alias("most")
+    told = rows.groupBy("key").agg(F.count("*").alias("n"), most).where("n > 1")
+    return staged(told.select("key", "n", F.col("most.node").alias("centre"), F.col("most.alone").alias("alone_c")))
+
+
 def links(nodes: DataFrame, sketches: DataFrame, threshold: float, width: int, small: int = 8) -> DataFrame:
     """Links (a, b) between nodes (node) of sketches (uid, text, keys, finer): see above. small: up to this size a bucket is compared in full."""
     texts = sketches.select("uid", "text")
+    a, b = F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")
     own = sketches.select(F.col("uid").alias("node"), "keys").join(nodes.hint("merge"), "node")
     rows = staged(own.select(F.explode("keys").alias("key"), "node"))
-    buckets = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1"))
-    first = rows.join(buckets, "key").where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    known = staged(_verified(staged(first.distinct()), texts, threshold, width))
+    sizes = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = staged(rows.join(sizes, "key"))
+    scores = staged(rows.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score")))
+    rows = staged(rows.select("key", "node").join(scores, "node").withColumn("alone", F.lit(True)))
+    centres = _centres(rows)
+    rows = rows.drop("alone")
+    first = rows.join(centres, "key").where("node != centre").withColumnRenamed("centre", "other")
+    known = staged(_verified(staged(first.select(a, b).distinct()), texts, threshold, width))
     ok = known.where("ok")
     linked = staged(ok.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("linked", F.lit(True)))
     # the rows of buckets in which someone has no link and more than the centre to meet
-    shared = rows.join(buckets.where("n > 2"), "key").join(linked, "node", "left").select("key", "node", "n", F.isnull("linked").alias("alone"))
-    shared = staged(shared)
+    shared = rows.join(centres.where("n > 2").select("key", "n"), "key").join(linked, "node", "left")
+    shared = staged(shared.select("key", "node", "score", "n", F.isnull("linked").alias("alone")))
     open_keys = staged(shared.where("alone").select("key").distinct())
     shared = staged(shared.join(open_keys, "key"))
     few = shared.where(F.col("n") <= small)
-    other = few.select("key", F.col("node").alias("b"), F.col("alone").alias("alone_b"))
-    pairs = few.join(other, "key").where("node > b and (alone or alone_b)").select(F.col("node").alias("a"), "b")
-    many = staged(shared.where(F.col("n") > small).select("node", "alone").distinct())
-    finer = staged(sketches.select(F.col("uid").alias("node"), "finer").join(many, "node").select(F.explode("finer").alias("key"), "node", "alone"))
-    # the least node and, in the lowest bit, whether it is alone
-    told = finer.groupBy("key").agg(F.min(F.col("node") * 2 + F.col("alone").cast("long")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    centres = staged(told.select("key", F.shiftright("least", 1).alias("b"), (F.col("least") % 2 == 1).alias("alone_b")))
-    pairs = pairs.unionByName(finer.join(centres, "key").where("node != b and (alone or alone_b)").select(F.col("node").alias("a"), "b"))
+    more = few.select("key", F.col("node").alias("other"), F.col("alone").alias("alone_c"))
+    pairs = few.join(more, "key").where("node > other and (alone or alone_c)").select(a, b)
+    many = staged(shared.where(F.col("n") > small).select("node", "score", "alone").distinct())
+    finer = sketches.select(F.col("uid").alias("node"), "finer").join(many, "node")
+    finer = staged(finer.select(F.explode("finer").alias("key"), "node", "score", "alone"))
+    met = finer.join(_centres(finer), "key").where("node != centre and (alone or alone_c)").withColumnRenamed("centre", "other")
+    pairs = pairs.unionByName(met.select(a, b))
     new = staged(pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
     more = staged(_verified(new, texts, threshold, width))
     return ok.unionByName(more.where("ok"))
