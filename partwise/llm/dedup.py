@@ -6,14 +6,15 @@ names its coordinate; each coordinate keeps its earliest dart, so two texts agre
 of their weighted Jaccard similarity. Only darts up to a rank that leaves about k ln k + 2k of them are thrown; if
 a coordinate stays empty, the rank is doubled.
 
-Exact copies fold into one node first. Bands of 7 coordinates name buckets. The members of a bucket are compared with its least member,
-the centre, not with each other. Where a member then has no link, a bucket of up to 8 members is compared in full; members of larger
-buckets are dealt anew by longer bands, of 10 and of 14 coordinates, and compared with those buckets' centres. A pair counts if its exact
-weighted Jaccard similarity is at least the threshold. Classes are the connected components of the links.
+Exact copies fold into one node first. Bands of 7 coordinates name buckets. A node's score is the number of other members of its buckets, so
+of copies of one text the text that they vary scores most. The members of a bucket are compared with its member of the highest score,
+the centre, not with each other. Where a member then has no link, a bucket of up to 8 members is compared in full; in a larger one the members without a link meet
+8 deputies, the highest scores of its members by residue of the id, and all its members are dealt anew by longer bands, of 10 and of 14 coordinates, and compared with
+those buckets' centres. A pair counts if its exact weighted Jaccard similarity is at least the threshold. Classes are the connected components of the links.
 
-With 32 bands a pair of similarity 0.8 shares no bucket with probability 0.0005, one of 0.85 with 0.000005. In groups of more than 8 that share a
-bucket, a pair of which neither side links to a centre shares a longer bucket with probability 0.9998 at similarity 0.9, 0.97 at 0.85, 0.76 at 0.8, and is
-compared there only if one of the two is that bucket's centre: such links can be lost. Work is linear in the rows whatever the size of a group.
+With 32 bands a pair of similarity 0.8 shares no bucket with probability 0.0005, one of 0.85 with 0.000005. Of pairs that share only buckets of more than 8
+members, those that join two groups of which no member is near a centre or a deputy can be lost (the README has how many); all other links, or a path of
+others between their ends, are found. Work is linear in the rows whatever the size of a group.
 
 Hot groups: counts and minima are pre-aggregated; joins read staged tables, so AQE splits a hot copy, bucket or centre.
 
@@ -39,6 +40,8 @@ from partwise.llm.common import column, put_back, set_aside, slices, staged, wit
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 7
 #: By so many coordinates the bands for members without a link are longer.
 LONGER = (3, 7)
+#: So many more members of a large bucket meet those of its members that have no link.
+DEPUTIES = 8
 U = np.uint64
 STEP = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -243,10 +246,13 @@ def links(nodes: DataFrame, sketches: DataFrame, threshold: float, width: int, s
     shared = staged(shared.select("key", "node", "score", "n", F.isnull("linked").alias("alone")))
     open_keys = staged(shared.where("alone").select("key").distinct())
     shared = staged(shared.join(open_keys, "key"))
+    large = shared.where(F.col("n") > small)
+    deputies = staged(large.groupBy("key", F.pmod("node", F.lit(DEPUTIES)).alias("slot")).agg(F.max(F.struct("score", "node")).alias("most")))
+    met = large.where("alone").join(deputies.select("key", F.col("most.node").alias("other")), "key").where("node != other").select(a, b)
     few = shared.where(F.col("n") <= small)
     more = few.select("key", F.col("node").alias("other"), F.col("alone").alias("alone_c"))
-    pairs = few.join(more, "key").where("node > other and (alone or alone_c)").select(a, b)
-    many = staged(shared.where(F.col("n") > small).select("node", "score", "alone").distinct())
+    pairs = few.join(more, "key").where("node > other and (alone or alone_c)").select(a, b).unionByName(met)
+    many = staged(large.select("node", "score", "alone").distinct())
     finer = sketches.select(F.col("uid").alias("node"), "finer").join(many, "node")
     finer = staged(finer.select(F.explode("finer").alias("key"), "node", "score", "alone"))
     met = finer.join(_centres(finer), "key").where("node != centre and (alone or alone_c)").withColumnRenamed("centre", "other")

@@ -96,6 +96,26 @@ def test_dedup_equals_brute_force(docs):
     assert all(r.class_size == len(classes[r.class_id]) for r in got)
 
 
+def test_dedup_of_a_large_star(docs):
+    """80 copies near one text but not near each other; its row is neither first nor last."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(200)]
+    texts = []
+    for _ in range(80):
+        own = base[:]
+        for at in rng.sample(range(5, 195), 3):
+            own[at] = f"e{rng.randrange(100_000)}"
+        texts.append(" ".join(own))
+    texts.insert(50, " ".join(base))
+    texts.append(" ".join(base[:80] + [f"z{i}" for i in range(120)]))
+    got = dedup.near_duplicates(docs(texts, True)).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    assert {frozenset(c) for c in classes.values()} == brute_classes(texts)
+    assert sorted(map(len, classes.values())) == [1, 81]
+
+
 def test_dedup_empty(docs):
     assert dedup.near_duplicates(docs([])).count() == 0
     assert dedup.near_duplicates(docs([None, None, ""])).where("kept").count() == 3
