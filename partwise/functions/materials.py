@@ -40,7 +40,8 @@ def values(parts: Column, table: Column, i: int, missing: float | None = None) -
     """array of (v, n): the property of each element and its count. Elements without it are left out, or have `missing`."""
     pick = lambda x: F.get(F.element_at(table, x["element"]), F.lit(i))
     if missing is not None:
-        return F.transform(parts, lambda x: F.struct(F.coalesce(pick(x), F.lit(missing)).alias("v"), x["count"].cast("double").alias("n")))
+        there = F.filter(parts, lambda x: x["count"] > 0)
+        return F.transform(there, lambda x: F.struct(F.coalesce(pick(x), F.lit(missing)).alias("v"), x["count"].cast("double").alias("n")))
     known = F.filter(parts, lambda x: pick(x).isNotNull() & (x["count"] > 0))
     return F.transform(known, lambda x: F.struct(pick(x).alias("v"), x["count"].cast("double").alias("n")))
 
@@ -67,8 +68,8 @@ def stoichiometry(formula: Column) -> dict[str, Column]:
     share = F.when(atoms > 0, F.transform(parts, lambda x: x["count"] / atoms)).otherwise(F.array().cast("array<double>"))
     entropy = total(F.transform(share, lambda f: F.when(f > 0, -f * F.log(f)).otherwise(0.0)))
     return {
-        "num_elements": F.size(parts).cast("double"), "total_atoms": atoms, "entropy": entropy + 0.0,
-        **{f"norm_{p}": norm(share, float(p)) for p in (2, 3, 5, 7, 10)},
+        "num_elements": F.size(parts).cast("double"), "total_atoms": atoms, "composition_entropy": entropy + 0.0,
+        **{f"L{p}_norm": norm(share, float(p)) for p in (2, 3, 5, 7, 10)},
     }
 
 
@@ -77,60 +78,64 @@ def electronic(formula: Column, table: Column) -> dict[str, Column]:
     parts = composition(formula)
     d, v, o, w = (weighted(values(parts, table, i, 0.0)) for i in range(4))
     return {
-        **{f"d_electrons_{k}": d[k] for k in ("mean", "std", "range", "max", "min")},
-        "valence_mean": v["mean"], "valence_std": v["std"], "oxidation_mean": o["mean"], "oxidation_std": o["std"],
-        "work_function_mean": w["mean"], "work_function_std": w["std"], "work_function_range": w["range"],
+        **{f"d_electron_{k}": d[k] for k in ("mean", "std", "range")},
+        **{f"valence_electron_{k}": v[k] for k in ("mean", "std")}, **{f"oxidation_state_{k}": o[k] for k in ("mean", "std")},
+        **{f"work_function_{k}": w[k] for k in ("mean", "std")},
+        "d_electron_max": d["max"], "d_electron_min": d["min"], "work_function_range": w["range"],
     }
 
 
 def bonding(formula: Column, table: Column) -> dict[str, Column]:
-    """Properties: electronegativity, ionic radius, polarizability."""
+    """Properties: electronegativity, ionic radius, polarizability; unknown ones are 0. Differences are from the mean of the
+    electronegativities above 0. The tolerance is that of a perovskite of the two largest radii with oxygen (140)."""
     parts = composition(formula)
-    known = F.filter(values(parts, table, 0), lambda x: x["v"] > 0)
-    en = weighted(known)
-    off = lambda x: x["n"] * F.abs(x["v"] - en["mean"])
-    n = total(F.transform(known, lambda x: x["n"]))
-    delta = F.when(n > 0, total(F.transform(known, off)) / n).otherwise(0.0)
-    radii = F.filter(values(parts, table, 1), lambda x: x["v"] > 0)
-    r = weighted(radii)
-    two = F.sort_array(F.transform(radii, lambda x: x["v"]), asc=False)
-    oxygen = 140.0
-    tolerance = F.when(F.size(two) >= 2, (F.get(two, F.lit(0)) + oxygen) / (F.sqrt(F.lit(2.0)) * (F.get(two, F.lit(1)) + oxygen))).otherwise(0.0)
+    all_en = values(parts, table, 0, 0.0)
+    known = F.filter(all_en, lambda x: x["v"] > 0)
+    middle = weighted(known)["mean"]
+    off = F.transform(all_en, lambda x: F.struct(F.abs(middle - x["v"]).alias("v"), x["n"].alias("n")))
+    ionicity = F.transform(off, lambda x: F.struct((1 - F.exp(x["v"] * x["v"] * -0.25)).alias("v"), x["n"].alias("n")))
+    diff, radii = weighted(off), values(parts, table, 1, 0.0)
+    r, n = weighted(radii), total(F.transform(known, lambda x: x["n"]))
     geometric = F.when(n > 0, F.exp(total(F.transform(known, lambda x: x["n"] * F.log(x["v"]))) / n)).otherwise(0.0)
+    large = F.sort_array(F.transform(radii, lambda x: x["v"]), asc=False)
+    first, second = F.get(large, F.lit(0)), F.get(large, F.lit(1))
     return {
-        "en_mean": en["mean"], "en_delta": delta, "ionicity": 1 - F.exp(-delta * delta / 4),
-        "radius_mean": r["mean"], "radius_std": r["std"], "radius_ratio": F.when(r["min"] > 0, r["max"] / r["min"]).otherwise(0.0),
-        "en_geometric": geometric, "polarizability_mean": weighted(values(parts, table, 2))["mean"], "tolerance_factor": tolerance,
+        "avg_electronegativity_diff": diff["mean"], "avg_ionic_radius": r["mean"],
+        "radius_ratio": F.when(r["min"] > 0, r["max"] / r["min"]).otherwise(0.0),
+        "avg_bond_ionicity": weighted(ionicity)["mean"], "geometric_mean_en": geometric, "avg_polarizability": weighted(values(parts, table, 2, 0.0))["mean"],
+        "tolerance_factor": F.when(second > 0, (first + 140.0) / ((second + 140.0) * F.sqrt(F.lit(2.0)))).otherwise(0.0),
+        "en_diff_std": diff["std"], "ionic_radius_std": r["std"],
     }
 
 
 def thermodynamic(formula: Column, table: Column) -> dict[str, Column]:
-    """Properties: melting point, oxide enthalpy, atomic mass. The mass entropy is over atoms."""
+    """Properties: melting point, oxide enthalpy, atomic mass; unknown ones are 0. The mass entropy is over atoms."""
     parts = composition(formula)
-    m, o = weighted(values(parts, table, 0)), weighted(values(parts, table, 1))
-    mass = values(parts, table, 2)
+    m, o = weighted(values(parts, table, 0, 0.0)), weighted(values(parts, table, 1, 0.0))
+    mass = values(parts, table, 2, 0.0)
     whole = total(F.transform(mass, lambda x: x["v"] * x["n"]))
     entropy = total(F.transform(mass, lambda x: -x["n"] * (x["v"] / whole) * F.log(x["v"] / whole + 1e-12)))
     return {
-        "melting_mean": m["mean"], "melting_std": m["std"], "melting_range": m["range"],
-        "oxide_mean": o["mean"], "oxide_min": o["min"], "oxide_max": o["max"], "reducibility": -o["mean"],
-        "mass_entropy": F.when(whole > 0, entropy).otherwise(0.0),
+        "avg_melting_point": m["mean"], "melting_point_std": m["std"], "melting_point_range": m["range"],
+        "avg_oxide_formation_enthalpy": o["mean"], "reducibility_index": 0.0 - o["mean"],
+        "entropy_mixing_mass_weighted": F.when(whole > 0, entropy).otherwise(0.0),
+        "min_oxide_formation_enthalpy": o["min"], "max_oxide_formation_enthalpy": o["max"],
     }
 
 
 def classification(formula: Column, table: Column, transition: Sequence[str], noble: Sequence[str], rare: Sequence[str]) -> dict[str, Column]:
-    """Membership flags and shares. Properties: d electrons, electronegativity, electron affinity."""
+    """Membership flags and shares. Properties: d electrons, electronegativity, electron affinity; the spread is over the table's elements."""
     parts = composition(formula)
     has = lambda group: F.exists(parts, lambda x: x["element"].isin(*group)).cast("double")
     atoms = total(F.transform(parts, lambda x: x["count"].cast("double")))
     of_transition = F.filter(parts, lambda x: x["element"].isin(*transition))
     share = F.when(atoms > 0, total(F.transform(of_transition, lambda x: x["count"].cast("double"))) / atoms).otherwise(0.0)
-    en = F.transform(F.filter(values(parts, table, 1), lambda x: x["v"] > 0), lambda x: x["v"])
+    en = F.transform(values(parts, table, 1), lambda x: x["v"])
     return {
-        "has_transition": has(transition), "has_noble": has(noble), "has_rare_earth": has(rare), "transition_share": share,
-        "d_filling": weighted(values(of_transition, table, 0, 0.0))["mean"] / 10, "num_elements": F.size(parts).cast("double"),
-        "en_spread": F.when(F.size(en) > 1, F.array_max(en) - F.array_min(en)).otherwise(0.0),
-        "affinity_mean": weighted(values(parts, table, 2, 0.0))["mean"],
+        "has_transition_metal": has(transition), "has_noble_metal": has(noble), "has_rare_earth": has(rare), "fraction_transition_metal": share,
+        "d_band_filling": weighted(values(of_transition, table, 0, 0.0))["mean"] / 10, "element_diversity": F.size(parts).cast("double"),
+        "electronegativity_spread": F.when(F.size(en) > 1, F.array_max(en) - F.array_min(en)).otherwise(0.0),
+        "weighted_electron_affinity": weighted(values(parts, table, 2, 0.0))["mean"],
     }
 
 

@@ -35,8 +35,8 @@ AMINO_ACIDS = {
 CLASSES = {
     "hydrophobic": "AILMFWV",
     "polar": "STNQYC",
-    "positive": "RKH",
-    "negative": "DE",
+    "charged_pos": "RKH",
+    "charged_neg": "DE",
     "aromatic": "FWY",
     "tiny": "AGS",
     "small": "AGSCTDNPV",
@@ -65,11 +65,11 @@ def nucleotide_composition(sequence: Column) -> dict[str, Column]:
     gc = g + c
     melting = F.when(n == 0, 0.0).when(n < 14, 4.0 * gc + 2.0 * (a + t)).otherwise(64.9 + 41.0 * (gc - 16.4) / n)
     return {
-        "freq_a": _share(a, n), "freq_t": _share(t, n), "freq_g": _share(g, n), "freq_c": _share(c, n),
+        "length": n, "freq_A": _share(a, n), "freq_T": _share(t, n), "freq_G": _share(g, n), "freq_C": _share(c, n),
         "gc_content": _share(gc, n), "at_content": _share(a + t, n),
         "gc_skew": _share(g - c, gc), "at_skew": _share(a - t, a + t),
         "cpg_oe": F.when((c == 0) | (g == 0), F.lit(0.0)).otherwise(counted(s, "CG") / (c * g / n)),
-        "length": n, "melting_temp": melting,
+        "melting_temp": melting,
     }
 
 
@@ -97,9 +97,8 @@ def sequence_properties(sequence: Column | None, counts: dict[str, Column] | Non
     out = {
         "length": n,
         "molecular_weight": F.when(n == 0, 0.0).otherwise(sums[0] - (n - 1) * 18.015),
-        "avg_pi": mean(1), "avg_hydrophobicity": mean(2), "net_charge": sums[3],
-        "avg_volume": mean(4), "avg_surface": mean(5), "avg_flexibility": mean(6), "gravy": mean(2),
+        "avg_hydrophobicity": mean(2), "charge_pH7": sums[3], "isoelectric_point_approx": mean(1),
+        **{f"fraction_{k}": _share(sum((each[x] for x in v), F.lit(0.0)), n) for k, v in CLASSES.items()},
+        "gravy": mean(2), "avg_flexibility": mean(6), "avg_volume": mean(4), "avg_surface_area": mean(5),
     }
-    for name, letters in CLASSES.items():
-        out[f"frac_{name}"] = _share(sum((each[x] for x in letters), F.lit(0.0)), n)
     return out

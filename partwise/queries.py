@@ -121,7 +121,7 @@ def _n(x: str, s: str = "s") -> str:
 
 
 @query(f"""
-SELECT doc_id, {", ".join(f"round(CASE WHEN n = 0 THEN 0 ELSE {x} / n END, 9) AS freq_{x}" for x in "atgc")},
+SELECT doc_id, {", ".join(f"round(CASE WHEN n = 0 THEN 0 ELSE {x} / n END, 9) AS freq_{x.upper()}" for x in "atgc")},
  round(CASE WHEN n = 0 THEN 0 ELSE (g + c) / n END, 9) AS gc_content, round(CASE WHEN n = 0 THEN 0 ELSE (a + t) / n END, 9) AS at_content,
  round(CASE WHEN g + c = 0 THEN 0 ELSE (g - c) / (g + c) END, 9) AS gc_skew, round(CASE WHEN a + t = 0 THEN 0 ELSE (a - t) / (a + t) END, 9) AS at_skew,
  round(CASE WHEN c = 0 OR g = 0 THEN 0 ELSE cg / (c * g / n) END, 9) AS cpg_oe, n AS length,
@@ -153,9 +153,9 @@ _MEAN = ["CASE WHEN n = 0 THEN 0 ELSE s{0} / n END".format(i) for i in range(7)]
 
 @query(f"""
 SELECT doc_id, n AS length, round(CASE WHEN n = 0 THEN 0 ELSE s0 - (n - 1) * 18.015 END, 4) AS molecular_weight,
- round({_MEAN[1]}, 6) AS avg_pi, round({_MEAN[2]}, 6) AS avg_hydrophobicity, round(s3, 6) AS net_charge, round({_MEAN[4]}, 6) AS avg_volume,
- round({_MEAN[5]}, 6) AS avg_surface, round({_MEAN[6]}, 6) AS avg_flexibility, round({_MEAN[2]}, 6) AS gravy,
- {", ".join(f"round(CASE WHEN n = 0 THEN 0 ELSE {k} / n END, 6) AS frac_{k}" for k in sequences.CLASSES)}
+ round({_MEAN[1]}, 6) AS isoelectric_point_approx, round({_MEAN[2]}, 6) AS avg_hydrophobicity, round(s3, 6) AS charge_pH7, round({_MEAN[4]}, 6) AS avg_volume,
+ round({_MEAN[5]}, 6) AS avg_surface_area, round({_MEAN[6]}, 6) AS avg_flexibility, round({_MEAN[2]}, 6) AS gravy,
+ {", ".join(f"round(CASE WHEN n = 0 THEN 0 ELSE {k} / n END, 6) AS fraction_{k}" for k in sequences.CLASSES)}
 FROM (SELECT doc_id, CAST(length(s) AS DOUBLE) AS n, {", ".join(f"{x} AS s{i}" for i, x in enumerate(_SUMS))}, {", ".join("CAST(" + " + ".join(_n(x) for x in v) + f" AS DOUBLE) AS {k}" for k, v in sequences.CLASSES.items())}
  FROM (SELECT doc_id, {_P} AS s FROM documents))""")
 def sequence_properties(spark, d):
@@ -185,11 +185,66 @@ def magpie_properties(spark, d):
 
 
 @query(f"""SELECT p_partkey, CAST(CASE WHEN ti > 0 THEN 3 ELSE 2 END AS DOUBLE) AS num_elements, n AS total_atoms,
- round(-(fe / n * ln(fe / n) + o / n * ln(o / n) + CASE WHEN ti > 0 THEN ti / n * ln(ti / n) ELSE 0 END), 6) AS entropy, round(sqrt((fe * fe + o * o + ti * ti) / (n * n)), 6) AS norm_2
+ round(-(fe / n * ln(fe / n) + o / n * ln(o / n) + CASE WHEN ti > 0 THEN ti / n * ln(ti / n) ELSE 0 END), 6) AS composition_entropy, round(sqrt((fe * fe + o * o + ti * ti) / (n * n)), 6) AS L2_norm
 FROM (SELECT *, fe + o + ti AS n FROM (SELECT p_partkey, {_COUNTS} FROM part))""")
 def stoichiometry(spark, d):
     cols = materials.stoichiometry(F.col("formula"))
-    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in ("num_elements", "total_atoms", "entropy", "norm_2")])
+    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in ("num_elements", "total_atoms", "composition_entropy", "L2_norm")])
+
+
+#: Made-up properties of two of these elements; the third is unknown, so that its defaults are seen.
+MADE_UP = {"Fe": (6, 8, 3, 4.5), "O": (0, 6, -2, 1.5)}
+_ATOMS = f"(SELECT *, fe + o + ti AS n FROM (SELECT p_partkey, {_COUNTS} FROM part))"
+
+
+def _moments(fe: float, o: float, ti: float = 0.0) -> tuple[str, str]:
+    """SQL of the mean and the population deviation over atoms."""
+    mean = f"((fe * {fe} + o * {o} + ti * {ti}) / n)"
+    return mean, f"sqrt(greatest((fe * power({fe} - {mean}, 2) + o * power({o} - {mean}, 2) + ti * power({ti} - {mean}, 2)) / n, 0))"
+
+
+_D, _W = _moments(6, 0), _moments(4.5, 1.5)
+
+
+@query(f"""SELECT p_partkey, round({_D[0]}, 6) AS d_electron_mean, round({_D[1]}, 6) AS d_electron_std, round({_moments(3, -2)[0]}, 6) AS oxidation_state_mean,
+ round({_W[0]}, 6) AS work_function_mean, round({_W[1]}, 6) AS work_function_std, CASE WHEN ti > 0 THEN 4.5 ELSE 3.0 END AS work_function_range FROM {_ATOMS}""")
+def electronic(spark, d):
+    cols = materials.electronic(F.col("formula"), materials.literal_map(MADE_UP))
+    names = ("d_electron_mean", "d_electron_std", "oxidation_state_mean", "work_function_mean", "work_function_std", "work_function_range")
+    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in names])
+
+
+_EN = "((fe * 1.8 + o * 3.4) / (fe + o))"
+
+
+@query(f"""SELECT p_partkey, round((fe * ({_EN} - 1.8) + o * (3.4 - {_EN}) + ti * {_EN}) / n, 6) AS avg_electronegativity_diff, round((fe * 65 + o * 140) / n, 6) AS avg_ionic_radius,
+ round(CASE WHEN ti > 0 THEN 0 ELSE 140.0 / 65 END, 6) AS radius_ratio, round((fe * (1 - exp(-0.25 * power({_EN} - 1.8, 2))) + o * (1 - exp(-0.25 * power(3.4 - {_EN}, 2))) + ti * (1 - exp(-0.25 * power({_EN}, 2)))) / n, 6) AS avg_bond_ionicity,
+ round(exp((fe * ln(1.8) + o * ln(3.4)) / (fe + o)), 6) AS geometric_mean_en, round(280 / (sqrt(2) * 205), 6) AS tolerance_factor, round({_moments(65, 140)[1]}, 6) AS ionic_radius_std FROM {_ATOMS}""")
+def bonding(spark, d):
+    cols = materials.bonding(F.col("formula"), materials.literal_map({"Fe": (1.8, 65, 8), "O": (3.4, 140, 1)}))
+    names = ("avg_electronegativity_diff", "avg_ionic_radius", "radius_ratio", "avg_bond_ionicity", "geometric_mean_en", "tolerance_factor", "ionic_radius_std")
+    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in names])
+
+
+_MP = _moments(1800, 50)
+
+
+@query(f"""SELECT p_partkey, round({_MP[0]}, 6) AS avg_melting_point, round({_MP[1]}, 6) AS melting_point_std, CASE WHEN ti > 0 THEN 1800.0 ELSE 1750.0 END AS melting_point_range,
+ round(-{_moments(-800, 0)[0]}, 6) AS reducibility_index, -800.0 AS min_oxide_formation_enthalpy,
+ round(-(fe * 56 / m * ln(56 / m + 1e-12) + o * 16 / m * ln(16 / m + 1e-12)), 6) AS entropy_mixing_mass_weighted FROM (SELECT *, fe * 56 + o * 16 AS m FROM {_ATOMS})""")
+def thermodynamic(spark, d):
+    cols = materials.thermodynamic(F.col("formula"), materials.literal_map({"Fe": (1800, -800, 56), "O": (50, 0, 16)}))
+    names = ("avg_melting_point", "melting_point_std", "melting_point_range", "reducibility_index", "min_oxide_formation_enthalpy", "entropy_mixing_mass_weighted")
+    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in names])
+
+
+@query(f"""SELECT p_partkey, 1.0 AS has_transition_metal, 0.0 AS has_noble_metal, round((fe + ti) / n, 6) AS fraction_transition_metal, round(0.6 * fe / (fe + ti), 6) AS d_band_filling,
+ CASE WHEN ti > 0 THEN 3.0 ELSE 2.0 END AS element_diversity, 1.6 AS electronegativity_spread, round((fe * 16 + o * 141) / n, 6) AS weighted_electron_affinity FROM {_ATOMS}""")
+def classification(spark, d):
+    table = materials.literal_map({"Fe": (6, 1.8, 16), "O": (0, 3.4, 141)})
+    cols = materials.classification(F.col("formula"), table, ["Fe", "Ti"], ["Au"], ["La"])
+    names = ("has_transition_metal", "has_noble_metal", "fraction_transition_metal", "d_band_filling", "element_diversity", "electronegativity_spread", "weighted_electron_affinity")
+    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in names])
 
 
 # ---- vectors and distances
