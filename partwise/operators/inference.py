@@ -64,13 +64,41 @@ FORMAT_TYPES = {
 }
 
 
-def hints(types: list[tuple[str, str | None, float]], fmt: str | None, has_ligand: bool = False) -> dict:
-    """Suggested first and second entity (column and type) from column_types rows."""
+# Names, columns and feature sets that are suggested for a type.
+TYPE_NAMES = {"molecule": "compound", "material": "material", "biomolecule": "protein", "gene": "gene"}
+TYPE_COLUMNS = {"molecule": "smiles", "material": "formula", "biomolecule": "sequence"}
+TYPE_FEATURES = {
+    "molecule": ["rdkit_descriptors", "physicochemical", "morgan_fingerprint"], "material": ["magpie_properties", "stoichiometry", "electronic"],
+    "biomolecule": ["sequence_properties"], "gene": ["nucleotide_composition", "kmer_frequencies"],
+}
+STRUCTURES = ("pdb", "mmcif", "pdb_dir", "mmcif_dir")
+
+
+def _suggested(kind: str, column: str, name: str | None = None) -> dict:
+    return {"type": kind, "column": column, "name": name or TYPE_NAMES[kind], "feature_sets": TYPE_FEATURES[kind]}
+
+
+def hints(types: list[tuple[str, str | None, float]], fmt: str | None, columns: list[str] | None = None, has_ligand: bool = False) -> dict:
+    """Suggested first and second entity from column_types rows, in the order of the columns.
+
+    A format with a type of its own gives the first entity, and a second one only for structures with a ligand. Other formats take the
+    surest column, then the surest of another type, else the next one.
+    """
+    columns = [c for c, _, _ in types] if columns is None else columns
     ranked = sorted((t for t in types if t[1]), key=lambda t: -t[2])
-    default = FORMAT_TYPES.get(fmt or "")
-    first = next(((c, t) for c, t, _ in ranked if t == default), ranked[0][:2] if ranked else None)
-    rest = [(c, t) for c, t, _ in ranked if first and c != first[0]]
-    second = next((x for x in rest if x[1] != first[1]), rest[0] if rest else None) if first else None
-    if fmt in ("pdb", "mmcif", "pdb_dir", "mmcif_dir") and has_ligand:
-        second = ("ligand_id", "molecule")
-    return {"column_types": {c: {"type": t, "confidence": x} for c, t, x in types}, "suggested_e": first, "suggested_f": second}
+    own, first, second = FORMAT_TYPES.get(fmt or ""), None, None
+    if own:
+        column = TYPE_COLUMNS[own] if TYPE_COLUMNS[own] in columns else next((c for c, t, _ in ranked if t == own), None)
+        first = _suggested(own, column) if column else None
+        if fmt in STRUCTURES and has_ligand and "ligand_id" in columns:
+            second = _suggested("molecule", "ligand_id", "ligand")
+    elif ranked:
+        (column, kind, _), rest = ranked[0], ranked[1:]
+        first = _suggested(kind, column)
+        if other := next((t for t in rest if t[1] != kind), None):
+            second = _suggested(other[1], other[0])
+        elif rest:
+            second = _suggested(kind, rest[0][0], TYPE_NAMES[kind] + "_2")
+    listed = {c: {"type": t, "confidence": x} for c, t, x in types}
+    default = {"type": own, "column": TYPE_COLUMNS[own]} if own else None
+    return {"column_types": listed, "format_default": default, "suggested_e": first, "suggested_f": second}

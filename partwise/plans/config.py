@@ -15,8 +15,6 @@ FEATURES = {
     "material": ["magpie_properties", "stoichiometry", "electronic", "bonding", "thermodynamic", "classification", "matminer_elementproperty", "mat2vec_embedding", "crystalnn_fingerprint", "soap_descriptor"],
     "molecule": ["rdkit_descriptors", "composition", "physicochemical", "morgan_fingerprint"],
 }
-#: Sets that column functions compute; the others need toolkits or files, and raise where these are missing.
-BUILT_IN = {"nucleotide_composition", "kmer_frequencies", "sequence_properties", "stoichiometry"}
 
 
 @dataclass
@@ -59,6 +57,7 @@ class Config:
     e2: Entity | None = None
     format: str | None = None
     filters: list[Filter] = field(default_factory=list)
+    cache: str | None = None
 
 
 def _entity(raw: dict, which: str) -> Entity:
@@ -81,7 +80,7 @@ def parse(raw: dict) -> Config:
     if not e2 and (bad := [t for t in splitting.techniques if t not in TECHNIQUES_1D]):
         raise ValueError(f"{bad} need a second entity")
     rules = [Filter(f["column"], f.get("not_equal"), bool(f.get("not_empty"))) for f in raw.get("filters") or []]
-    return Config(data["name"], data["input"], data.get("output", "output"), _entity(e1, "e1"), splitting, _entity(e2, "e2") if e2 else None, data.get("format"), rules)
+    return Config(data["name"], data["input"], data.get("output", "output"), _entity(e1, "e1"), splitting, _entity(e2, "e2") if e2 else None, data.get("format"), rules, data.get("cache"))
 
 
 def load_config(path: str) -> Config:

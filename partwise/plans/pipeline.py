@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,42 +14,91 @@ from pyspark.sql import functions as F
 from partwise.functions import materials, sequences
 from partwise.functions.vectors import cleaned
 from partwise.operators import distances, filters, metrics, splits
+from partwise.plans.cache import cached, content_key
 from partwise.plans.config import Config, Entity
-from partwise.sources.readers import load
-from partwise.sources.writers import write_splits
+from partwise.sources.readers import detect, load
+from partwise.sources.writers import features_csv, fold_column, indices, write_splits
 
 log = logging.getLogger(__name__)
 #: Further feature sets: name -> function of the entity column that gives array<double>.
 registered: dict[str, Callable] = {}
+#: Element tables of the material sets: name -> (element -> properties in the order of the set's function, further arguments).
+elements: dict[str, tuple[Mapping, tuple]] = {}
 
 
 def register_feature_set(name: str, f: Callable) -> None:
     registered[name] = f
 
 
+def register_elements(name: str, table: Mapping, *more) -> None:
+    """The table of magpie_properties (more: the names of its properties), electronic, bonding, thermodynamic, classification
+    (more: transition metals, noble metals, rare earths) or mat2vec_embedding (more: the size)."""
+    if name not in OF_ELEMENTS:
+        raise ValueError(f"{name} takes no table; these do: {sorted(OF_ELEMENTS)}")
+    elements[name] = (table, more)
+
+
+def _kmers(c) -> dict:
+    names = [(k, start + "".join(x)) for k, start in ((2, "di_"), (3, "tri_")) for x in product(sequences.BASES, repeat=k)]
+    both = F.concat(sequences.kmer_frequencies(c, 2), sequences.kmer_frequencies(c, 3))
+    return {name: F.get(both, F.lit(i)) for i, (_, name) in enumerate(names)}
+
+
+NAMED = {
+    "nucleotide_composition": sequences.nucleotide_composition, "kmer_frequencies": _kmers,
+    "sequence_properties": sequences.sequence_properties, "stoichiometry": materials.stoichiometry,
+}
+OF_ELEMENTS = {
+    "magpie_properties": materials.magpie_properties, "electronic": materials.electronic, "bonding": materials.bonding,
+    "thermodynamic": materials.thermodynamic, "classification": materials.classification, "mat2vec_embedding": materials.vector_mean,
+}
+
+
 def _set(name: str, c):
+    """array<double> of a feature set."""
     if name in registered:
         return registered[name](c)
-    if name == "nucleotide_composition":
-        return F.array(*sequences.nucleotide_composition(c).values())
     if name == "kmer_frequencies":
         return F.concat(sequences.kmer_frequencies(c, 2), sequences.kmer_frequencies(c, 3))
-    if name == "sequence_properties":
-        return F.array(*sequences.sequence_properties(c).values())
-    if name == "stoichiometry":
-        return F.array(*materials.stoichiometry(c).values())
-    raise ImportError(f"feature set {name} isn't built in: register_feature_set gives it")
+    if name in NAMED:
+        return F.array(*NAMED[name](c).values())
+    if name in elements:
+        table, more = elements[name]
+        own = OF_ELEMENTS[name](c, materials.literal_map(table), *more)
+        return F.array(*own.values()) if isinstance(own, dict) else own
+    raise ImportError(f"feature set {name} isn't built in: register_elements or register_feature_set gives it")
+
+
+def feature_names(sets: Sequence[str], size: int) -> list[str]:
+    """A name for each of the features: those of the sets that name theirs, else the set's name and a number."""
+    out: list[str] = []
+    for i, name in enumerate(sets):
+        if name in registered or name not in NAMED and name not in elements or name == "mat2vec_embedding":
+            rest = size - len(out) if i == len(sets) - 1 else 0
+            if not rest:
+                return [f"feature_{j}" for j in range(size)]
+            out += [f"{name}_{j}" for j in range(rest)]
+        elif name in NAMED:
+            out += NAMED[name](F.lit(""))
+        else:
+            table, more = elements[name]
+            out += OF_ELEMENTS[name](F.lit(""), materials.literal_map(table), *more)
+    return out
 
 
 DEFAULTS = {"gene": ["nucleotide_composition", "kmer_frequencies"], "biomolecule": ["sequence_properties"], "material": ["stoichiometry"], "molecule": []}
 
 
-def featurized(entities: DataFrame, config: Entity) -> DataFrame:
-    """entity, features (array<double>, cleaned). All sets come from one projection; nothing is joined."""
+def featurized(entities: DataFrame, config: Entity, cache: str | None = None) -> DataFrame:
+    """entity, features (array<double>, cleaned). All sets come from one projection; nothing is joined. cache: a folder to keep them in."""
     sets = config.features or DEFAULTS[config.type]
     if not sets:
         raise ImportError(f"no feature sets for {config.type}: register_feature_set gives them")
-    return entities.select("entity", cleaned(F.concat(*[_set(s, F.col("entity")) for s in sets])).alias("features"))
+    make = lambda: entities.select("entity", cleaned(F.concat(*[_set(s, F.col("entity")) for s in sets])).alias("features"))
+    if not cache or any(s in registered for s in sets):  # what a registered function computes has no content to go by
+        return make()
+    tables = {s: json.dumps([sorted((k, list(v)) for k, v in elements[s][0].items()), [list(x) if isinstance(x, (list, tuple)) else x for x in elements[s][1]]]) for s in sets if s in elements}
+    return cached(entities.sparkSession, cache, "features", content_key(entities, config.type, sets, tables), make)
 
 
 @dataclass
@@ -87,7 +138,9 @@ def run(spark: SparkSession, config: Config, write: bool = False, progress: Call
     features = {k: None for k in ("e1", "e2")}
     if any(t[0] == "C" for t in config.splitting.techniques):
         for k, e in (("e1", config.e1), ("e2", config.e2)):
-            features[k] = featurized(filters.entities(rows, k), e).persist() if e else None
+            features[k] = featurized(filters.entities(rows, k), e, config.cache).persist() if e else None
+        if write:
+            _write_features(features, config)
     assignments, told, failed = {}, {}, {}
     for i, technique in enumerate(config.splitting.techniques):
         progress(30 + 60 * i // len(config.splitting.techniques), technique)
@@ -98,7 +151,7 @@ def run(spark: SparkSession, config: Config, write: bool = False, progress: Call
             assignments[technique] = own.select("_row_id", "split")
             told[technique] = _measured(own, assignment, features["e1"], keys, names)
             if write:
-                write_splits(loaded, assignments[technique], names, config.format or "csv", f"{config.output}/split_result/{technique}_{config.name}")
+                _write(loaded, assignments[technique], told[technique], technique, config)
         except (ValueError, RuntimeError, TypeError) as e:
             log.warning("%s failed: %s", technique, e)
             failed[technique] = e
@@ -109,6 +162,8 @@ def run(spark: SparkSession, config: Config, write: bool = False, progress: Call
         fields = "technique string, coverage double, mean_nn_dist double, e1_overlap double, mean_normalized_shift double"
         listed = [(t, m["coverage"], m.get("mean_nn_dist"), float(m["overlap"]), m.get("mean_normalized_shift")) for t, m in sorted(told.items())]
         summary = metrics.compared(spark.createDataFrame(listed, fields))
+        if write:
+            summary.coalesce(1).write.mode("overwrite").json(f"{config.output}/metrics/comparison_{config.name}")
     progress(100, "done")
     return Result(rows, assignments, told, summary)
 
@@ -139,3 +194,21 @@ def _measured(own: DataFrame, assignment: DataFrame, features: DataFrame | None,
         out |= metrics.nn_leakage(features, by_entity, "entity", "features", names).first().asDict()
         out |= metrics.distribution_shift(features, by_entity, "entity", "features", names).first().asDict()
     return out
+
+
+def _write(loaded: DataFrame, assignment: DataFrame, measured: dict, technique: str, config: Config) -> None:
+    """The splits in the input's format, and folders with each row's split, row numbers, all columns with the split, and the metrics."""
+    names, label, out = config.splitting.names, f"{technique}_{config.name}", config.output
+    write_splits(loaded, assignment, names, config.format or detect(config.input), f"{out}/split_result/{label}")
+    assignment.write.mode("overwrite").csv(f"{out}/split_result/split_{label}", header=True)
+    indices(loaded, assignment, names).write.mode("overwrite").json(f"{out}/ml_exports/{label}_indices")
+    fold_column(loaded, assignment).write.mode("overwrite").csv(f"{out}/ml_exports/{label}_folds", header=True, escape='"')
+    spark = loaded.sparkSession
+    spark.createDataFrame([(json.dumps(measured, default=float),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/metrics/{label}")
+
+
+def _write_features(features: dict[str, DataFrame | None], config: Config) -> None:
+    for k, e in (("e1", config.e1), ("e2", config.e2)):
+        if e and features[k] is not None and (one := features[k].select(F.size("features").alias("n")).first()):
+            names = feature_names(e.features or DEFAULTS[e.type], one.n)
+            features_csv(features[k], "entity", "features", names, f"{config.output}/features/{config.name}/{e.name}")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partwise.sources.readers import numbered
+
 
 def with_split(rows: DataFrame, assignment: DataFrame) -> DataFrame:
     return rows.join(assignment.select("_row_id", "split"), "_row_id", "left")
@@ -37,9 +39,10 @@ def write_splits(rows: DataFrame, assignment: DataFrame, names: Sequence[str], f
             own.select(key).distinct().write.mode("overwrite").text(to)
 
 
-def indices(rows: DataFrame, assignment: DataFrame) -> DataFrame:
-    """split and its sorted row numbers."""
-    return with_split(rows, assignment).where("split is not null").groupBy("split").agg(F.array_sort(F.collect_list(F.col("_row_id").cast("long"))).alias("indices"))
+def indices(rows: DataFrame, assignment: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Each split and the sorted positions of its rows, counted from 0 in the rows as they are, after filters."""
+    at = numbered(rows.select(F.col("_row_id").alias("_own"))).select(F.col("_row_id").cast("long").alias("at"), F.col("_own").alias("_row_id"))
+    return with_split(at, assignment).where(F.col("split").isin(*names)).groupBy("split").agg(F.array_sort(F.collect_list("at")).alias("indices"))
 
 
 def fold_column(rows: DataFrame, assignment: DataFrame) -> DataFrame:

@@ -75,4 +75,62 @@ def test_pipeline(spark, tmp_path):
     assert result.comparison.where("recommended").count() == 1
     written = readers.read_fasta(spark, str(tmp_path / "out/split_result/R_g/train"))
     assert written.count() == 48
-    assert writers.indices(result.rows, result.assignments["R"]).count() == 2
+    told = {r.split: r.indices for r in writers.indices(result.rows, result.assignments["R"], ["train", "test"]).collect()}
+    assert sorted(told["train"] + told["test"]) == list(range(60)) and len(told["train"]) == 48
+    out = str(tmp_path / "out")
+    assert spark.read.csv(f"{out}/split_result/split_R_g", header=True).count() == 60
+    assert spark.read.json(f"{out}/ml_exports/R_g_indices").count() == 2
+    assert spark.read.csv(f"{out}/ml_exports/C1e_g_folds", header=True).columns == ["sequence", "split"]
+    assert json.loads(spark.read.text(f"{out}/metrics/R_g").first().value)["split_counts"] == {"train": 48, "test": 12}
+    assert spark.read.json(f"{out}/metrics/comparison_g").count() == 3
+    features = spark.read.csv(f"{out}/features/g/gene", header=True)
+    assert features.columns[:3] == ["entity_id", "length", "freq_A"] and features.count() == 60
+
+
+def test_cache(spark, tmp_path):
+    from partwise.plans import cache
+
+    one = spark.createDataFrame([("a",), ("b",)], "entity string")
+    key = cache.content_key(one, "gene", ["x", "y"])
+    assert key == cache.content_key(one.orderBy("entity", ascending=False), "gene", ["y", "x"])
+    assert len({key, cache.content_key(one, "gene", ["x"]), cache.content_key(one.limit(1), "gene", ["x", "y"]), cache.content_key(one, "gene", ["x", "y"], {"t": "1"})}) == 4
+    made = []
+
+    def make():
+        made.append(1)
+        return one
+
+    for _ in range(2):
+        assert cache.cached(spark, str(tmp_path), "features", key, make).count() == 2
+    assert len(made) == 1
+    (tmp_path / f"features_{key}" / "_SUCCESS").unlink()
+    assert cache.cached(spark, str(tmp_path), "features", key, make).count() == 2 and len(made) == 2
+    assert cache.cached(spark, None, "features", key, make).count() == 2 and len(made) == 3
+
+
+def test_hints():
+    from partwise.operators.inference import hints
+
+    types = [("a", "gene", 0.8), ("b", "gene", 0.9), ("c", "material", 0.7), ("d", None, 0.0)]
+    own = hints(types, "csv")
+    assert (own["suggested_e"]["column"], own["suggested_f"]["column"], own["format_default"]) == ("b", "c", None)
+    assert hints(types[:2], "json")["suggested_f"]["name"] == "gene_2"
+    assert hints([], "csv")["suggested_e"] is None
+    own = hints([("sequence", "biomolecule", 1.0)], "pdb", ["sequence", "ligand_id"], has_ligand=True)
+    assert (own["suggested_e"]["name"], own["suggested_f"]["name"]) == ("protein", "ligand")
+    assert hints([("x", "molecule", 1.0)], "smiles")["suggested_e"]["column"] == "x"
+
+
+def test_element_tables(spark):
+    from partwise.plans import pipeline
+
+    with pytest.raises(ValueError):
+        pipeline.register_elements("stoichiometry", {})
+    pipeline.register_elements("electronic", {"Fe": (6, 8, 3, 4.5)})
+    try:
+        entity = parse({"dataset": {"name": "n", "input": "i"}, "e": {"name": "m", "type": "material", "extract": {"column": "f"}, "features": ["electronic", "stoichiometry"]}, "splitting": {"techniques": ["R"]}}).e1
+        got = pipeline.featurized(spark.createDataFrame([("Fe2O3",), ("",)], "entity string"), entity).collect()
+        assert [len(r.features) for r in got] == [20, 20] and got[0].features[0] == pytest.approx(2.4) and not any(got[1].features)
+        assert pipeline.feature_names(entity.features, 20)[0] == "d_electron_mean"
+    finally:
+        pipeline.elements.clear()
