@@ -87,6 +87,15 @@ def test_pipeline(spark, tmp_path):
     assert features.columns[:3] == ["entity_id", "length", "freq_A"] and features.count() == 60
 
 
+def test_random_split_without_features(spark, tmp_path):
+    (tmp_path / "m.smi").write_text("".join(f"{'C' * (i + 1)} m{i}\n" for i in range(20)))
+    config = {"dataset": {"name": "m", "input": str(tmp_path / "m.smi")}, "e": {"name": "compound", "type": "molecule", "extract": {"column": "smiles"}}, "splitting": {"techniques": ["R"]}}
+    measured = run(spark, parse(config)).metrics["R"]
+    assert measured["split_counts"] == {"train": 16, "test": 4} and "mean_nn_dist" not in measured
+    with pytest.raises(ImportError):
+        run(spark, parse(config | {"splitting": {"techniques": ["C1e"]}}))
+
+
 def test_cache(spark, tmp_path):
     from partwise.plans import cache
 
