@@ -177,7 +177,7 @@ def parse_formula(spark, d):
     return own.select("p_partkey", F.col("c")["Fe"].alias("fe"), F.col("c")["O"].alias("o"), F.size("c").alias("kinds"))
 
 
-@query(f"""SELECT p_partkey, round(mean, 6) AS mass_mean, round(sqrt((fe * power(55.845 - mean, 2) + o * power(15.999 - mean, 2) + ti * power(47.867 - mean, 2)) / n), 6) AS mass_std, 15.999 AS mass_min, 55.845 AS mass_max
+@query(f"""SELECT p_partkey, round(mean, 6) AS mass_mean, round(sqrt((fe * power(55.845 - mean, 2) + o * power(15.999 - mean, 2) + ti * power(47.867 - mean, 2)) / n), 6) AS mass_std, 15.999::DOUBLE AS mass_min, 55.845::DOUBLE AS mass_max
 FROM (SELECT *, (fe * 55.845 + o * 15.999 + ti * 47.867) / n AS mean FROM (SELECT *, fe + o + ti AS n FROM (SELECT p_partkey, {_COUNTS} FROM part)))""")
 def magpie_properties(spark, d):
     cols = materials.magpie_properties(F.col("formula"), materials.literal_map(ELEMENTS), ["number", "mass"])
@@ -207,7 +207,7 @@ _D, _W = _moments(6, 0), _moments(4.5, 1.5)
 
 
 @query(f"""SELECT p_partkey, round({_D[0]}, 6) AS d_electron_mean, round({_D[1]}, 6) AS d_electron_std, round({_moments(3, -2)[0]}, 6) AS oxidation_state_mean,
- round({_W[0]}, 6) AS work_function_mean, round({_W[1]}, 6) AS work_function_std, CASE WHEN ti > 0 THEN 4.5 ELSE 3.0 END AS work_function_range FROM {_ATOMS}""")
+ round({_W[0]}, 6) AS work_function_mean, round({_W[1]}, 6) AS work_function_std, CASE WHEN ti > 0 THEN 4.5 ELSE 3.0 END::DOUBLE AS work_function_range FROM {_ATOMS}""")
 def electronic(spark, d):
     cols = materials.electronic(F.col("formula"), materials.literal_map(MADE_UP))
     names = ("d_electron_mean", "d_electron_std", "oxidation_state_mean", "work_function_mean", "work_function_std", "work_function_range")
@@ -229,8 +229,8 @@ def bonding(spark, d):
 _MP = _moments(1800, 50)
 
 
-@query(f"""SELECT p_partkey, round({_MP[0]}, 6) AS avg_melting_point, round({_MP[1]}, 6) AS melting_point_std, CASE WHEN ti > 0 THEN 1800.0 ELSE 1750.0 END AS melting_point_range,
- round(-{_moments(-800, 0)[0]}, 6) AS reducibility_index, -800.0 AS min_oxide_formation_enthalpy,
+@query(f"""SELECT p_partkey, round({_MP[0]}, 6) AS avg_melting_point, round({_MP[1]}, 6) AS melting_point_std, CASE WHEN ti > 0 THEN 1800.0 ELSE 1750.0 END::DOUBLE AS melting_point_range,
+ round(-{_moments(-800, 0)[0]}, 6) AS reducibility_index, (-800.0)::DOUBLE AS min_oxide_formation_enthalpy,
  round(-(fe * 56 / m * ln(56 / m + 1e-12) + o * 16 / m * ln(16 / m + 1e-12)), 6) AS entropy_mixing_mass_weighted FROM (SELECT *, fe * 56 + o * 16 AS m FROM {_ATOMS})""")
 def thermodynamic(spark, d):
     cols = materials.thermodynamic(F.col("formula"), materials.literal_map({"Fe": (1800, -800, 56), "O": (50, 0, 16)}))
@@ -238,8 +238,8 @@ def thermodynamic(spark, d):
     return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in names])
 
 
-@query(f"""SELECT p_partkey, 1.0 AS has_transition_metal, 0.0 AS has_noble_metal, round((fe + ti) / n, 6) AS fraction_transition_metal, round(0.6 * fe / (fe + ti), 6) AS d_band_filling,
- CASE WHEN ti > 0 THEN 3.0 ELSE 2.0 END AS element_diversity, 1.6 AS electronegativity_spread, round((fe * 16 + o * 141) / n, 6) AS weighted_electron_affinity FROM {_ATOMS}""")
+@query(f"""SELECT p_partkey, 1.0::DOUBLE AS has_transition_metal, 0.0::DOUBLE AS has_noble_metal, round((fe + ti) / n, 6) AS fraction_transition_metal, round(0.6 * fe / (fe + ti), 6) AS d_band_filling,
+ CASE WHEN ti > 0 THEN 3.0 ELSE 2.0 END::DOUBLE AS element_diversity, 1.6::DOUBLE AS electronegativity_spread, round((fe * 16 + o * 141) / n, 6) AS weighted_electron_affinity FROM {_ATOMS}""")
 def classification(spark, d):
     table = materials.literal_map({"Fe": (6, 1.8, 16), "O": (0, 3.4, 141)})
     cols = materials.classification(F.col("formula"), table, ["Fe", "Ti"], ["Au"], ["La"])
@@ -404,7 +404,7 @@ def split_coverage(spark, d):
     return metrics.coverage(_i2(spark, d), NAMES)
 
 
-@query(f"SELECT sum(a * b) AS overlap, sum(greatest(a, b)) AS total FROM (SELECT e1, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS a, max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS b FROM (SELECT CAST(l_partkey AS VARCHAR) AS e1, s.split FROM lineitem JOIN (SELECT id, {CUT} AS split FROM {RANKED.format(c='CAST(l_suppkey AS VARCHAR)', t='lineitem')}) s ON CAST(l_suppkey AS VARCHAR) = s.id) GROUP BY e1)")
+@query(f"SELECT CAST(sum(a * b) AS BIGINT) AS overlap, CAST(sum(greatest(a, b)) AS BIGINT) AS total FROM (SELECT e1, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS a, max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS b FROM (SELECT CAST(l_partkey AS VARCHAR) AS e1, s.split FROM lineitem JOIN (SELECT id, {CUT} AS split FROM {RANKED.format(c='CAST(l_suppkey AS VARCHAR)', t='lineitem')}) s ON CAST(l_suppkey AS VARCHAR) = s.id) GROUP BY e1)")
 def entity_overlap(spark, d):
     rows = _read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("e1"), F.col("l_suppkey").cast("string").alias("e2"))
     return metrics.entity_overlap(splits.assigned(rows, splits.random_split(rows, "e2", NAMES, RATIOS), ["e2"]), "e1", NAMES)
@@ -417,7 +417,7 @@ def entity_majority_split(spark, d):
 
 def _leakage(distance: str) -> str:
     return f"""WITH v AS (SELECT a.*, split FROM {_V} a JOIN {VEC_SPLIT} s ON CAST(vec_id AS VARCHAR) = id), d AS (SELECT min({distance}) AS d FROM v a JOIN v b ON a.split = 'test' AND b.split = 'train' GROUP BY a.vec_id)
-SELECT round(avg(d), 6) AS mean_nn_dist, round(median(d), 6) AS median_nn_dist, round(min(d), 6) AS min_nn_dist, round(max(d), 6) AS max_nn_dist, count_if(d = 0) AS zero_dist_count, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END), 4) AS zero_dist_fraction FROM d"""
+SELECT round(avg(d), 6) AS mean_nn_dist, round(median(d), 6) AS median_nn_dist, round(min(d), 6) AS min_nn_dist, round(max(d), 6) AS max_nn_dist, CAST(count_if(d = 0) AS BIGINT) AS zero_dist_count, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END), 4) AS zero_dist_fraction FROM d"""
 
 
 def _vector_split(spark, d) -> DataFrame:
