@@ -8,13 +8,14 @@ a coordinate stays empty, the rank is doubled.
 
 Exact copies fold into one node first. Bands of 7 coordinates name buckets. A node's score is the number of other members of its buckets, so
 of copies of one text the text that they vary scores most. The members of a bucket are compared with its member of the highest score,
-the centre, not with each other. Where a member then has no link, a bucket of up to 8 members is compared in full; in a larger one the members without a link meet
+the centre, not with each other. In a bucket of more than 8 members where someone then has no link, the members without a link meet
 8 deputies, the highest scores of its members by residue of the id, and all its members are dealt anew by longer bands, of 10 and of 14 coordinates, and compared with
-those buckets' centres. A pair counts if its exact weighted Jaccard similarity is at least the threshold. Classes are the connected components of the links.
+those buckets' centres. Last, all pairs that share a bucket and lie in different components of the links so far are compared, but for those whose numbers of
+shingles alone keep them below the threshold. A pair counts if its exact weighted Jaccard similarity is at least the threshold. Classes are the connected components of the links.
 
-With 32 bands a pair of similarity 0.8 shares no bucket with probability 0.0005, one of 0.85 with 0.000005. Of pairs that share only buckets of more than 8
-members, those that join two groups of which no member is near a centre or a deputy can be lost (the README has how many); all other links, or a path of
-others between their ends, are found. Work is linear in the rows whatever the size of a group.
+With 32 bands a pair of similarity 0.8 shares no bucket with probability 0.0005, one of 0.85 with 0.000005; these links are lost. Every link whose ends share a bucket,
+or a path of others between its ends, is found. The last step takes, in each bucket, the members outside its largest component times all members: nothing where a bucket
+is one class, but the square of the size of a bucket of unlike texts.
 
 Hot groups: counts and minima are pre-aggregated; joins read staged tables, so AQE splits a hot copy, bucket or centre.
 
@@ -152,33 +153,30 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _sketch(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """docs with uid (unique), digest (of the words; uid's bytes if there are none), keys (a long for each band), finer (of longer bands)."""
+    """docs with uid (unique), digest (of the words; uid's bytes if there are none), keys (a long for each band), finer (of longer bands),
+    n_shingles."""
     keep = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketcher(bands, rows, width)
         for batch in slices(batches, 256):
-            digests, keys, finer = [], [], []
+            digests, keys, finer, counts = [], [], [], []
             for uid, text in zip(column(batch, "uid"), column(batch, "text"), strict=True):
                 words = words_of(text)
                 digests.append(blake2b("\n".join(words).encode(), digest_size=16).digest() if words else uid.to_bytes(8))
-                signature = own.signature(own.shingles(words)) if words else None
+                shingles = own.shingles(words) if words else ()
+                signature = own.signature(shingles) if words else None
+                counts.append(len(shingles))
                 keys.append(own.band_keys(signature) if words else [])
                 finer.append(np.concatenate([own.band_keys(signature, n) for n in LONGER]) if words else [])
-            yield with_columns(batch, [*keep, "uid"], {"digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "finer": pa.array(finer, pa.list_(pa.int64()))})
+            yield with_columns(batch, [*keep, "uid"], {"digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "finer": pa.array(finer, pa.list_(pa.int64())), "n_shingles": pa.array(counts, pa.int64())})
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"{fields}, uid long, digest binary, keys array<long>, finer array<long>")
+    return docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"{fields}, uid long, digest binary, keys array<long>, finer array<long>, n_shingles long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """pairs (a, b) with ok: whether the texts' similarity is at least the threshold.
-
-    All texts are shuffled once to find the needed ones, at every size: a plan that broadcasts the ids where they are few would
-    hide what it takes where they aren't.
-    """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().hint("merge")
-    texts = staged(texts.join(needed, "uid", "left_semi"))
+    """pairs (a, b) with ok: whether the texts' similarity is at least the threshold."""
     both = (
         pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
@@ -225,9 +223,36 @@ def _centres(rows: DataFrame) -> DataFrame:
     return staged(told.select("key", "n", F.col("most.node").alias("centre"), F.col("most.alone").alias("alone_c")))
 
 
+def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """texts (uid, text) of nodes (uid, once each).
+
+    All texts are shuffled once to find the needed ones, at every size: a plan that broadcasts the ids where they are few would
+    hide what it takes where they aren't.
+    """
+    return staged(texts.join(nodes.hint("merge"), "uid", "left_semi"))
+
+
+def _across(rows: DataFrame, counts: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket of rows (key, node) and lie in different components; found: (node, root), of linked nodes.
+
+    Each such pair has an end outside its bucket's largest component. Pairs that differ so much in the number of shingles (counts: node,
+    n_shingles) that they can't reach the threshold are left out.
+    """
+    own = counts.join(found, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    rows = staged(rows.select("key", "node").join(staged(own), "node"))
+    parts = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
+    most = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    rows = staged(rows.join(staged(most.select("key", F.col("most.root").alias("largest"))), "key"))
+    rest = rows.where("root != largest").select("key", F.col("node").alias("other"), F.col("root").alias("root_o"), F.col("n_shingles").alias("n_o"))
+    near = F.least("n_shingles", "n_o") >= F.greatest("n_shingles", "n_o") * F.lit(threshold - 1e-9)
+    once = (F.col("root") == F.col("largest")) | (F.col("node") > F.col("other"))
+    met = rest.join(rows, "key").where((F.col("root") != F.col("root_o")) & once & near)
+    return met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
 def links(nodes: DataFrame, sketches: DataFrame, threshold: float, width: int, small: int = 8) -> DataFrame:
-    """Links (a, b) between nodes (node) of sketches (uid, text, keys, finer): see above. small: up to this size a bucket is compared in full."""
-    texts = sketches.select("uid", "text")
+    """Links (a, b) between nodes (node) of sketches (uid, text, keys, finer, n_shingles), or the nodes' roots: see above.
+    small: above this size a bucket has deputies and is dealt anew."""
     a, b = F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")
     own = sketches.select(F.col("uid").alias("node"), "keys").join(nodes.hint("merge"), "node")
     rows = staged(own.select(F.explode("keys").alias("key"), "node"))
@@ -237,21 +262,18 @@ def links(nodes: DataFrame, sketches: DataFrame, threshold: float, width: int, s
     rows = staged(rows.select("key", "node").join(scores, "node").withColumn("alone", F.lit(True)))
     centres = _centres(rows)
     rows = rows.drop("alone")
+    texts = _texts_of(scores.select(F.col("node").alias("uid")), sketches.select("uid", "text"))
     first = rows.join(centres, "key").where("node != centre").withColumnRenamed("centre", "other")
     known = staged(_verified(staged(first.select(a, b).distinct()), texts, threshold, width))
     ok = known.where("ok")
     linked = staged(ok.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("linked", F.lit(True)))
-    # the rows of buckets in which someone has no link and more than the centre to meet
-    shared = rows.join(centres.where("n > 2").select("key", "n"), "key").join(linked, "node", "left")
-    shared = staged(shared.select("key", "node", "score", "n", F.isnull("linked").alias("alone")))
+    # the rows of large buckets in which someone has no link
+    shared = rows.join(centres.where(F.col("n") > small).select("key"), "key").join(linked, "node", "left")
+    shared = staged(shared.select("key", "node", "score", F.isnull("linked").alias("alone")))
     open_keys = staged(shared.where("alone").select("key").distinct())
-    shared = staged(shared.join(open_keys, "key"))
-    large = shared.where(F.col("n") > small)
+    large = staged(shared.join(open_keys, "key"))
     deputies = staged(large.groupBy("key", F.pmod("node", F.lit(DEPUTIES)).alias("slot")).agg(F.max(F.struct("score", "node")).alias("most")))
-    met = large.where("alone").join(deputies.select("key", F.col("most.node").alias("other")), "key").where("node != other").select(a, b)
-    few = shared.where(F.col("n") <= small)
-    more = few.select("key", F.col("node").alias("other"), F.col("alone").alias("alone_c"))
-    pairs = few.join(more, "key").where("node > other and (alone or alone_c)").select(a, b).unionByName(met)
+    pairs = large.where("alone").join(deputies.select("key", F.col("most.node").alias("other")), "key").where("node != other").select(a, b)
     many = staged(large.select("node", "score", "alone").distinct())
     finer = sketches.select(F.col("uid").alias("node"), "finer").join(many, "node")
     finer = staged(finer.select(F.explode("finer").alias("key"), "node", "score", "alone"))
@@ -259,7 +281,13 @@ def links(nodes: DataFrame, sketches: DataFrame, threshold: float, width: int, s
     pairs = pairs.unionByName(met.select(a, b))
     new = staged(pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
     more = staged(_verified(new, texts, threshold, width))
-    return ok.unionByName(more.where("ok"))
+    known = known.unionByName(more)
+    found = staged(components(known.where("ok")))
+    counts = sketches.select(F.col("uid").alias("node"), "n_shingles").join(scores.select("node"), "node", "left_semi")
+    pairs = staged(_across(rows, counts, found, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    last = staged(_verified(pairs, _texts_of(needed, texts), threshold, width))
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last.where("ok").select("a", "b"))
 
 
 def near_duplicates(

@@ -116,6 +116,26 @@ def test_dedup_of_a_large_star(docs):
     assert sorted(map(len, classes.values())) == [1, 81]
 
 
+@pytest.mark.parametrize("seed, around", [(3, 3), (3, 15)])
+def test_dedup_of_a_bridge(docs, seed, around):
+    """Two groups joined by one link between members that each have links in their own group and are no bucket's centre."""
+    rng = random.Random(seed)
+
+    def edited(text, places):
+        text = text[:]
+        for at in places:
+            text[at] = f"e{rng.randrange(10**9)}"
+        return text
+
+    x = [f"w{rng.randrange(100_000)}" for _ in range(200)]
+    y = edited(x, (20, 60, 100, 140))
+    p, q = edited(x, [170]), edited(y, [185])
+    texts = [x, y, p, q, *(edited(g, [rng.choice((8, 30, 40, 50, 70, 80, 90, 110, 120, 130, 150))]) for g in (p, q) for _ in range(around))]
+    got = dedup.near_duplicates(docs([" ".join(t) for t in texts])).collect()
+    assert len(brute_classes([" ".join(t) for t in texts])) == 1
+    assert len({r.class_id for r in got}) == 1
+
+
 def test_dedup_empty(docs):
     assert dedup.near_duplicates(docs([])).count() == 0
     assert dedup.near_duplicates(docs([None, None, ""])).where("kept").count() == 3
