@@ -74,8 +74,38 @@ def normal(sentence: str) -> str:
 
 KNOWN = {normal(s): k for k, each in SENTENCES.items() for s in each}
 FIRST = {k.split(" ", 1)[0] for k in KNOWN}
-LENGTHS = {len(k.split()) for k in KNOWN}
 _STRIP = "\"'()[]<>*#-_ \t."
+TREE: dict = {}  # word -> tree of the words after it; "" -> the identifier of a sentence that ends there
+for _k, _id in KNOWN.items():
+    _at = TREE
+    for _w in _k.split():
+        _at = _at.setdefault(_w, {})
+    _at[""] = _id
+
+
+def begins(part: str) -> bool:
+    """Whether the part may begin a known sentence."""
+    head = part[:60].lower().lstrip(_STRIP).replace("-", " ").split(None, 1)
+    return bool(head) and head[0].strip(_STRIP + ",;:") in FIRST
+
+
+def known(parts: list[str]) -> list[str]:
+    """The identifiers of the known sentences that are runs of whole parts, in order; of those that begin at a part, the longest."""
+    ids, i = [], 0
+    while i < len(parts):
+        at, last, j = TREE if begins(parts[i]) else None, None, i
+        while at is not None and j < len(parts):
+            for w in normal(parts[j]).split():
+                at = at.get(w)
+                if at is None:
+                    break
+            j += 1
+            if at is not None and "" in at:
+                last = at[""], j
+        if last:
+            ids.append(last[0])
+        i = last[1] if last else i + 1
+    return ids
 
 
 def identifiers(text: str | None) -> list[str]:
@@ -84,11 +114,7 @@ def identifiers(text: str | None) -> list[str]:
     for paragraph in re.split(r"\n\s*\n", text or ""):
         found: list[str] = []
         for part in dict.fromkeys((paragraph, paragraph.replace("\n", " ")) if "\n" in paragraph else (paragraph,)):
-            ids = []
-            for s in _SPLIT.split(part):
-                head = s[:60].lower().lstrip(_STRIP).replace("-", " ").split(None, 1)
-                if head and (head[0].strip(_STRIP + ",;:") in FIRST) and (k := KNOWN.get(normal(s))):
-                    ids.append(k)
+            ids = known(_SPLIT.split(part))
             if len(ids) > len(found):
                 found = ids
         out += found

@@ -193,6 +193,15 @@ def test_licences(docs):
     assert [got[i] for i in range(8, 15)] == [["MIT"], ["CC-BY-NC-4.0"], ["Apache-2.0"], ["GPL-3.0"], [], ["BSD-2-Clause"], []]
 
 
+def test_every_sentence_and_rule_is_found():
+    for k, each in licences.SENTENCES.items():
+        for s in each:
+            assert licences.identifiers(s) == licences.identifiers(f"One more.\n{s}.\nText.") == [k], s
+    for name, rule, _ in licences.RULES:
+        for sep in ("\n", ".\n\n", ". "):
+            assert (name, 1.0) in licences.licences(sep.join(licences.SENTENCES[k][0] for k in rule) + ".")[1], name
+
+
 # ---- classifiers
 
 
