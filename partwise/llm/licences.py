@@ -74,7 +74,7 @@ def normal(sentence: str) -> str:
 
 KNOWN = {normal(s): k for k, each in SENTENCES.items() for s in each}
 FIRST = {k.split(" ", 1)[0] for k in KNOWN}
-_STRIP = "\"'()[]<>*#-_ \t."
+_WORD = re.compile(r"\w+")
 TREE: dict = {}  # word -> tree of the words after it; "" -> the identifier of a sentence that ends there
 for _k, _id in KNOWN.items():
     _at = TREE
@@ -85,8 +85,8 @@ for _k, _id in KNOWN.items():
 
 def begins(part: str) -> bool:
     """Whether the part may begin a known sentence."""
-    head = part[:60].lower().lstrip(_STRIP).replace("-", " ").split(None, 1)
-    return bool(head) and head[0].strip(_STRIP + ",;:") in FIRST
+    word = _WORD.search(part)
+    return word is not None and word[0].lower() in FIRST
 
 
 def known(parts: list[str]) -> list[str]:
@@ -109,16 +109,8 @@ def known(parts: list[str]) -> list[str]:
 
 
 def identifiers(text: str | None) -> list[str]:
-    """The identifiers of the known sentences, in order. A sentence of several lines is also tried joined."""
-    out = []
-    for paragraph in re.split(r"\n\s*\n", text or ""):
-        found: list[str] = []
-        for part in dict.fromkeys((paragraph, paragraph.replace("\n", " ")) if "\n" in paragraph else (paragraph,)):
-            ids = known(_SPLIT.split(part))
-            if len(ids) > len(found):
-                found = ids
-        out += found
-    return out
+    """The identifiers of the known sentences, in order. A sentence may be of several lines of a paragraph."""
+    return [k for paragraph in re.split(r"\n\s*\n", text or "") for k in known(_SPLIT.split(paragraph))]
 
 
 def matched(ids: list[str], rule: list[str]) -> float:

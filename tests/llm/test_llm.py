@@ -202,6 +202,16 @@ def test_every_sentence_and_rule_is_found():
             assert (name, 1.0) in licences.licences(sep.join(licences.SENTENCES[k][0] for k in rule) + ".")[1], name
 
 
+@pytest.mark.parametrize("sign", ["// ", "/* ", "; ", "| ", "% ", "! ", "= ", "-" * 70 + " ", "/" * 70 + " "])
+def test_licences_behind_signs(sign):
+    assert licences.identifiers(f"{sign}Licensed under the MIT License\n{sign}All rights reserved.") == ["mit.notice", "reserved"]
+
+
+def test_licences_of_lines_beside_a_wrapped_sentence():
+    grant = licences.SENTENCES["mit.grant"][0].replace(" ", "\n * ", 12)
+    assert licences.identifiers(f"All rights reserved\n * {grant}\n * Licensed under CC BY 4.0") == ["reserved", "mit.grant", "cc_by.notice"]
+
+
 # ---- classifiers
 
 
