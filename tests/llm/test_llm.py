@@ -329,20 +329,50 @@ def test_mixture(spark):
 # ---- neighbours
 
 
-def test_neighbours_recall(spark):
-    df = table(spark, "/root/testdata/sf0.1", "embeddings", "vec_id", "embedding")
-    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
+def brute_recall(df, got, k=20):
+    """The share of the true k nearest that were found; every score must be the exact inner product, ranks and ties in order."""
     data = df.toPandas()
-    x = np.stack(data["embedding"].to_numpy()).astype(float)
-    ids = data["vec_id"].to_numpy()
+    x, ids = np.stack(data["embedding"].to_numpy()).astype(float), data["vec_id"].to_numpy()
+    at = {v: i for i, v in enumerate(ids.tolist())}
     hit = n = 0
     for q, own in got.groupby("query_id"):
-        scores = x @ x[ids == q][0]
-        scores[ids == q] = -np.inf
-        best = set(ids[np.lexsort((ids, -scores))[:20]].tolist())
-        hit, n = hit + len(best & set(own["vec_id"])), n + 20
-        assert own.sort_values("rank")["score"].is_monotonic_decreasing
-    assert hit / n >= 0.9
+        own = own.sort_values("rank")
+        scores = x @ x[at[q]]
+        assert np.abs(own["score"].to_numpy() - scores[[at[v] for v in own["vec_id"]]]).max() < 1e-9
+        assert own["rank"].tolist() == [*range(1, len(own) + 1)] and q not in set(own["vec_id"])
+        assert own[["score", "vec_id"]].apply(tuple, axis=1).tolist() == sorted(own[["score", "vec_id"]].apply(tuple, axis=1), key=lambda r: (-r[0], r[1]))
+        scores[at[q]] = -np.inf
+        best = set(ids[np.lexsort((ids, -scores))[:k]].tolist())
+        hit, n = hit + len(best & set(own["vec_id"])), n + len(best)
+    return hit / n
+
+
+@pytest.mark.parametrize("shard_rows", [neighbours.SHARD_ROWS, 1500])
+def test_neighbours_recall(spark, shard_rows):
+    df = table(spark, "/root/testdata/sf0.1", "embeddings", "vec_id", "embedding")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=shard_rows).toPandas()
+    assert brute_recall(df, got) >= 0.9
+
+
+def test_neighbours_of_clusters_are_few_candidates(spark):
+    """Unit vectors about 100 centres, of several norms: prefixes stay long, so little of the table is scored."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((100, 32))
+    x = centres[rng.integers(0, 100, 6000)] + 0.15 * rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = neighbours.Forest(x, 1.0)
+    share = [n / len(x) for _, _, n in forest.search(x[:200], 21, 256, 0.2)]
+    assert sum(share) / len(share) < 0.1
+    scaled = x[:2000] * rng.uniform(0.5, 1.0, (2000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(scaled)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert brute_recall(df, got) >= 0.9
+
+
+def test_neighbours_of_another_length(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0]), (4, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.lit(True)).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(1, 2), (2, 1)]
 
 
 def test_neighbours_edges(spark):
