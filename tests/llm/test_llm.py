@@ -309,6 +309,31 @@ def test_chat_query(spark):
 # ---- mixture
 
 
+def edf(shares, length):
+    """The indices of the sources in order, by a plain simulation of all slots."""
+    all_, done, out = sum(shares), [0] * len(shares), []
+    for slot in range(length):
+        best = min((-(-(k + 1) * all_ // a), i) for i, (k, a) in enumerate(zip(done, shares, strict=True)) if k * all_ // a <= slot)
+        out.append((best[1], done[best[1]]))
+        done[best[1]] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [[1, 3, 6], [1], [5, 5], [7, 11, 13, 17, 400], [1, 997, 500, 500], [RNG.randint(1, 500) for _ in range(40)], [RNG.randint(1, 9) ** 3 for _ in range(12)], [3] * 300])
+def test_schedule_equals_simulation(spark, weights):
+    """Segments of few slots, each made on its own, give what one simulation of all slots gives; no deviation reaches a block."""
+    rows = [(f"s{i:03}", max(1, 40 * w // max(weights)), w) for i, w in enumerate(weights)]
+    got = mixing.schedule(spark.createDataFrame(rows, "key string, blocks long, a long"), segment=4).orderBy("slot").collect()
+    assert [r.slot for r in got] == [*range(len(got))]
+    assert [(int(r.key[1:]), r.k) for r in got] == edf(weights, len(got))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    done = np.zeros(len(weights))
+    for t, r in enumerate(got, 1):
+        done[int(r.key[1:])] += 1
+        assert np.abs(done * sum(weights) - np.array(weights) * t).max() < sum(weights)
+    assert all(done[i] >= blocks for i, (_, blocks, _) in enumerate(rows))
+
+
 def test_mixture(spark):
     rows = [(i, "big" if i % 3 else ("mid" if i % 2 else None), "same" if i < 40 else str(i)) for i in range(3000)]
     df = spark.createDataFrame(rows + rows[:5], "doc_id long, source string, block string")
@@ -318,14 +343,32 @@ def test_mixture(spark):
     assert blocks["slot"].is_unique and sorted(blocks["slot"]) == [*range(len(blocks))]
     assert ((got["slot"] >= got["release"]) & (got["slot"] < got["deadline"])).all()
     first = got[got["epoch"] == 0]
-    assert len(first) == 3005
+    assert len(first) == 3005 and sorted(first["doc_id"]) == sorted(r[0] for r in rows + rows[:5])
+    assert first.groupby(["source", "block"])["nth"].apply(lambda n: sorted(n) == [*range(len(n))]).all()
+    for (_, _), own in got.groupby(["source", "block"]):
+        assert own.groupby("epoch")["doc_id"].apply(sorted).map(tuple).nunique() == 1  # an epoch's block holds the same rows
     sizes = first.groupby("source").size() ** mixing.TEMPERATURE
     for s, share in (sizes / sizes.sum()).items():
         run = (blocks["source"] == s).to_numpy().cumsum()
-        assert np.abs(run - share * np.arange(1, len(blocks) + 1)).max() < 1 + len(blocks) * 2 / mixing.SLOTS
+        assert np.abs(run - share * np.arange(1, len(blocks) + 1)).max() < 1
     assert mixing.mixed(df.where("false")).count() == 0
 
 
+def test_mixture_of_given_weights(spark):
+    """300 sources, and weights that leave a source many epochs; every slot within one block of its share."""
+    df = spark.range(3000).select("id", F.concat(F.lit("s"), F.col("id") % 300).alias("source"))
+    assert mixing.mixed(df, block_rows=2).where("epoch = 0").count() == 3000
+    df = spark.range(6000).select("id", F.when(F.col("id") < 5000, "a").when(F.col("id") < 5990, "b").otherwise("c").alias("source"))
+    weights = {"a": 0.1, "b": 0.3, "c": 0.6}
+    got = mixing.mixed(df, spark.createDataFrame([*weights.items()], "source string, weight double"), block_rows=1).select("source", "slot").toPandas().sort_values("slot")
+    assert got["slot"].tolist() == [*range(50_000)]
+    for s, share in weights.items():
+        assert np.abs((got["source"] == s).to_numpy().cumsum() - share * np.arange(1, 50_001)).max() < 1
+    for bad in ([("a", 0.1), ("b", 0.3)], [("a", 0.1), ("b", 0.3), ("c", 0.0)]):
+        with pytest.raises(Exception, match="no weight above 0"):
+            mixing.mixed(df, spark.createDataFrame(bad, "source string, weight double")).count()
+
+
 # ---- neighbours
 
 
