@@ -1,13 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to terminal classes: insult and threat stems with weights, targets, negations, reporting words,
-determiners. A clause is read by transducers composed into one automaton: the insult (or threat) transducer opens a match,
-the target transducer raises it, the negation transducer lowers a match that it governs directly, the reported-speech
-transducer lowers the whole clause. A document's score is a logistic function, fitted to labelled documents, of its heaviest
-clause, its other clauses and its length, so no word counts outside of a clause's reading.
+A lexicon maps each word to arcs (class, weight): insult and threat stems with weights, targets, negations, reporting words, determiners,
+copulas, contrast words. Four transducers over these classes read a clause in order:
 
-Insult stems and their weights are learnt from labelled documents: prefixes of words that occur in toxic documents, counted
-by distinct contexts (neighbouring words), so that a group of copies counts once. The rest of the grammar is fixed.
+* negation: a negation opens a scope until the clause ends or a contrast word closes it; insults and threats in it are lowered;
+* reported speech: after a reporting word insults and threats are lowered; before one that ends the quotation ("..., she said") they
+  are, too, which the transducer guesses and must see confirmed;
+* target: an insult is raised if a target governs it (a target, then only copulas, determiners, negations, further insults)
+  or is called right after it; a guessed call must be confirmed;
+* threat: a threat counts if its object, a target, comes right before it or after it with at most one other word between.
+
+They are composed into one transducer (weights multiply, states are those that can be reached). A clause's weight is that of its best
+path: the sum over its words of lexical weight times arc weight, in the max-plus semiring. A document's score is a logistic function,
+fitted to labelled documents, of its heaviest clause, its other clauses and its length, so no word counts outside of a clause's reading.
+
+Insult stems and their weights are learnt from labelled documents: prefixes of words, and whole short or long words, that occur in toxic
+documents, counted by distinct contexts (neighbouring words), so that a group of copies counts once. The rest of the grammar is fixed.
 
 Defined results: a null or empty text scores the grammar's floor (no match); texts are read whole; doc_id may be null or
 repeated (each row gets its own score); further columns are ignored; with no labels, only the fixed stems are known.
@@ -32,40 +40,135 @@ TARGETS = "you your yours u ya youre yourself they them he she him her du dich d
 NEGATIONS = "not never no nor isnt arent wasnt dont nicht kein keine keinen nie niemals ne pas jamais aucun nunca jamás tampoco".split()
 REPORTS = "said says saying wrote writes called calls quoted reported alleged claims claimed according sagte sagt schrieb nannte zitierte laut dit disait écrit appelé selon dijo dice escribió llamó según".split()
 THREATS = "kill murder hurt destroy beat shoot stab töten umbringen verletzen schlagen tuer frapper détruire matar golpear destruir".split()
+COPULAS = "am are is was were be been being re r bist bin ist sind seid war es est sommes êtes sont était eres soy somos sois son era".split()
+CONTRASTS = "but however although though aber sondern jedoch mais cependant pero sino".split()
 DETERMINERS = "a an the such any so very really ein eine einen der die das un une le la les el los las una".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, DETERMINER, OTHER = range(7)
+INSULT, THREAT, TARGET, NEGATION, REPORT, DETERMINER, COPULA, CONTRAST, OTHER = CLASSES = range(9)
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W_]+")
 #: Without labels: the log odds of a text with no match, and what a text's figures add to them.
 UNTAUGHT = (-2.5, 1.0, 0.1, 0.0)
-#: What the composed transducers multiply a match by.
+#: What arcs multiply a match by.
 WITH_TARGET, NEGATED, REPORTED = 1.3, 0.3, 0.5
-PREFIXES = range(4, 13)
-#: Contexts that one document gives a prefix at most.
-PER_DOCUMENT = 3
+#: Words of fewer letters than the first prefix, or more than the last one, are stems as a whole, with this mark.
+PREFIXES, END = range(4, 13), "$"
+
+#: state -> class -> arcs (class written, weight, next state); and the states in which a reading may end.
+Arcs = dict[int, dict[int, list[tuple[int, float, int]]]]
+
+
+class Transducer:
+    """A weighted transducer over the classes, from state 0."""
+
+    def __init__(self, arcs: Arcs, final: set[int]):
+        self.arcs, self.final = arcs, final
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: other reads what this one writes. Only states that can be reached are kept."""
+        number, open_, arcs = {(0, 0): 0}, [(0, 0)], {}
+        while open_:
+            s, t = pair = open_.pop()
+            own = arcs[number[pair]] = {}
+            for x, each in self.arcs[s].items():
+                for y, w, to in each:
+                    for z, v, to2 in other.arcs[t].get(y, ()):
+                        if (to, to2) not in number:
+                            number[to, to2] = len(number)
+                            open_.append((to, to2))
+                        own.setdefault(x, []).append((z, w * v, number[to, to2]))
+        return Transducer(arcs, {n for (s, t), n in number.items() if s in self.final and t in other.final})
+
+    def best(self, words: list[list[tuple[int, float]]]) -> float:
+        """The weight of the best path that reads one of the arcs (class, weight) of each word; 0 if none ends in a final state."""
+        at = {0: 0.0}
+        for lexical in words:
+            after: dict[int, float] = {}
+            for state, total in at.items():
+                arcs = self.arcs[state]
+                for kind, w in lexical:
+                    for _, v, to in arcs.get(kind, ()):
+                        if (x := total + w * v) > after.get(to, -1.0):
+                            after[to] = x
+            at = after
+        return max((x for s, x in at.items() if s in self.final), default=0.0)
+
+
+def _same(state: int, **other) -> dict[int, list[tuple[int, float, int]]]:
+    """Every class is written as it is read and the state kept, but for the classes named."""
+    named = {globals()[k]: v for k, v in other.items()}
+    return {k: named.get(k, [(k, 1.0, state)]) for k in CLASSES}
+
+
+def negation() -> Transducer:
+    """States: 0 outside, 1 in a negation's scope."""
+    return Transducer({
+        0: _same(0, NEGATION=[(NEGATION, 1.0, 1)]),
+        1: _same(1, INSULT=[(INSULT, NEGATED, 1)], THREAT=[(THREAT, NEGATED, 1)], CONTRAST=[(CONTRAST, 1.0, 0)]),
+    }, {0, 1})
+
+
+def reported_speech() -> Transducer:
+    """States: 0 nothing yet, 1 after a reporting word, 2 after a match that isn't quoted, 3 in a quotation whose reporting word must come."""
+    match = lambda k: [(k, 1.0, 2), (k, REPORTED, 3)]
+    return Transducer({
+        0: _same(0, INSULT=match(INSULT), THREAT=match(THREAT), REPORT=[(REPORT, 1.0, 1)]),
+        1: _same(1, INSULT=[(INSULT, REPORTED, 1)], THREAT=[(THREAT, REPORTED, 1)], CONTRAST=[(CONTRAST, 1.0, 0)]),
+        2: _same(2, REPORT=[]),
+        3: _same(3, INSULT=[(INSULT, REPORTED, 3)], THREAT=[(THREAT, REPORTED, 3)], REPORT=[(REPORT, 1.0, 1)]),
+    }, {0, 1, 2})
+
+
+def target() -> Transducer:
+    """States: 0 no target, 1 under a target, 2 after an insult whose target is called next."""
+    called = [(INSULT, 1.0, 0), (INSULT, WITH_TARGET, 2)]
+    return Transducer({
+        0: _same(0, TARGET=[(TARGET, 1.0, 1)], INSULT=called),
+        1: _same(0, **{k: [(globals()[k], 1.0, 1)] for k in ("TARGET", "COPULA", "DETERMINER", "NEGATION")}, INSULT=[(INSULT, WITH_TARGET, 1)]),
+        2: {TARGET: [(TARGET, 1.0, 1)]},
+    }, {0, 1})
+
+
+def threat() -> Transducer:
+    """States: 0 no object, 1 right after a target, 2 after a threat whose object must come, 3 the same, one other word later."""
+    waits = [(THREAT, 0.0, 0), (THREAT, 1.0, 2)]
+    return Transducer({
+        0: _same(0, TARGET=[(TARGET, 1.0, 1)], THREAT=waits),
+        1: _same(0, TARGET=[(TARGET, 1.0, 1)], THREAT=[(THREAT, 1.0, 0)]),
+        2: {TARGET: [(TARGET, 1.0, 1)], DETERMINER: [(DETERMINER, 1.0, 2)], INSULT: [(INSULT, 1.0, 3)], OTHER: [(OTHER, 1.0, 3)]},
+        3: {TARGET: [(TARGET, 1.0, 1)], DETERMINER: [(DETERMINER, 1.0, 3)]},
+    }, {0, 1})
+
+
+#: The grammar of a clause.
+CLAUSES = negation().then(reported_speech()).then(target()).then(threat())
 
 
 class Grammar:
-    """stems: prefix -> weight of the insult class."""
+    """stems: prefix, or whole word with END, -> weight of the insult class."""
 
     def __init__(self, stems: dict[str, float], scale: tuple[float, ...] = UNTAUGHT, memo: int = 300_000):
         self.stems, self.scale, self.memo_size = stems, scale, memo
-        self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        self.fixed: dict[str, tuple[int, float]] = {}
-        for kind, words in ((DETERMINER, DETERMINERS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            self.fixed |= {w: (kind, 0.0) for w in words}
-        self.fixed |= {w: (THREAT, 2.0) for w in THREATS}
+        self.lengths = sorted({len(s) for s in stems if not s.endswith(END)}, reverse=True)
+        self.fixed: dict[str, list[tuple[int, float]]] = {}
+        fixed = ((DETERMINER, DETERMINERS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (COPULA, COPULAS), (CONTRAST, CONTRASTS), (THREAT, THREATS))
+        for kind, words in fixed:
+            for w in words:
+                self.fixed.setdefault(w, []).append((kind, 2.0 if kind == THREAT else 0.0))
         self.memo: dict[str, float] = {}
 
     def stem(self, word: str) -> float:
-        """The weight of the longest learnt prefix of the word; 0: none."""
+        """The weight of the whole word, else of its longest learnt prefix; 0: none."""
+        if (w := self.stems.get(word + END)) is not None:
+            return w
         return next((w for n in self.lengths if n <= len(word) and (w := self.stems.get(word[:n])) is not None), 0.0)
 
-    def terminal(self, word: str) -> tuple[int, float]:
+    def lexical(self, word: str) -> list[tuple[int, float]]:
+        """The lexicon's arcs for the word: an insult, or a word of another class, or any."""
+        fixed = self.fixed.get(word)
         if w := self.stem(word):
-            return INSULT, w
-        return self.fixed.get(word, (OTHER, 0.0))
+            return [(INSULT, w), *(fixed or ())]
+        return fixed or [(OTHER, 0.0)]
 
     def triggers(self, words: set[str]) -> list[str]:
         """Those of the words that can open a match."""
@@ -74,31 +177,14 @@ class Grammar:
             memo.clear()
         for w in words:
             if (v := memo.get(w)) is None:
-                v = memo[w] = max((self.terminal(x)[1] for x in WORD.findall(w)), default=0.0)
+                v = memo[w] = max((w for x in WORD.findall(w) for _, w in self.lexical(x)), default=0.0)
             if v:
                 found.append(w)
         return found
 
     def clause(self, words: list[str]) -> float:
-        """The weight of the composed automaton's best path. States: 0 outside, 1 after a negation (a determiner keeps it)."""
-        state, weight, target, reported, threatened = 0, 0.0, False, False, 0.0
-        for word in words:
-            kind, w = self.terminal(word)
-            if kind == INSULT:
-                weight += w * (NEGATED if state else 1)
-                state = 0
-            elif kind == THREAT:
-                threatened, state = max(threatened, w * (NEGATED if state else 1)), 0
-            elif kind == TARGET:
-                target = True
-            elif kind == NEGATION:
-                state = 1
-            elif kind == REPORT:
-                reported = True
-            elif kind != DETERMINER:
-                state = 0
-        weight += threatened if target or weight else 0.0  # a threat matches only with someone it is directed at
-        return weight * (WITH_TARGET if target else 1) * (REPORTED if reported else 1)
+        """The weight of the composed transducer's best path."""
+        return CLAUSES.best([self.lexical(w) for w in words])
 
     def figures(self, text: str | None) -> list[float]:
         """1, the weight of the heaviest clause, that of the others, the logarithm of the number of words."""
@@ -106,11 +192,11 @@ class Grammar:
         words = low.split()
         if not (found := self.triggers(set(words))):
             return [1.0, 0.0, 0.0, math.log1p(len(words))]
-        opening = {x for w in found for x in WORD.findall(w) if self.terminal(x)[1]}
+        opening = {x for w in found for x in WORD.findall(w) if any(w for _, w in self.lexical(x))}
         # a clause without such a word has no match, so only the others are read
         each = [self.clause(read) for c in CLAUSE.split(low) if not opening.isdisjoint(read := WORD.findall(c))]
         most = max(each, default=0.0)
-        return [1.0, min(most, 20.0), min(sum(each) - most, 20.0), math.log1p(len(words))]
+        return [1.0, most, math.log1p(sum(each) - most), math.log1p(len(words))]
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(self.scale, self.figures(text), strict=True))))))
@@ -128,49 +214,54 @@ class Grammar:
         self.scale = tuple(w.tolist())
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word of a labelled text: each of its prefixes, with a hash of the words beside it. A document gives a
-    prefix PER_DOCUMENT contexts at most, so that one document can't make a stem."""
+def stems_of(word: str) -> list[str]:
+    """What a word may be known by."""
+    whole = [] if len(word) in PREFIXES else [word + END]
+    return whole + [word[:n] for n in PREFIXES if n <= len(word)]
+
+
+def _stem_rows(batches: Iterator[pa.RecordBatch], per_document: int) -> Iterator[pa.RecordBatch]:
+    """For each word of a labelled text: each of its stems, with a hash of the words beside it, per_document at most for a stem."""
     for batch in slices(batches, 64):
-        prefix, context, toxic = [], [], []
+        stem, context, toxic = [], [], []
         for text, label in zip(column(batch, "text"), column(batch, "label"), strict=True):
             words = ["", *WORD.findall((text or "").lower()), ""]
             seen: dict[str, set[int]] = {}
             for i in range(1, len(words) - 1):
-                w = words[i]
-                if len(w) >= PREFIXES[0]:
-                    beside = xxh3_64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1
-                    for n in PREFIXES:
-                        if n > len(w):
-                            break
-                        if len(own := seen.setdefault(w[:n], set())) < PER_DOCUMENT:
-                            own.add(beside)
-            for p, own in seen.items():
-                prefix += [p] * len(own)
+                beside = xxh3_64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1
+                for s in stems_of(words[i]):
+                    if len(own := seen.setdefault(s, set())) < per_document:
+                        own.add(beside)
+            for s, own in seen.items():
+                stem += [s] * len(own)
                 context += own
                 toxic += [label] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(prefix, pa.string()), pa.array(context, pa.int64()), pa.array(toxic, pa.int32())], names=["prefix", "context", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(stem, pa.string()), pa.array(context, pa.int64()), pa.array(toxic, pa.int32())], names=["stem", "context", "toxic"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, where, per_class: int = 2000, most_stems: int = 4000) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, where, per_class: int = 2000, most_stems: int = 4000, per_document: int = 3) -> Grammar:
     """A grammar whose insult stems and score come from at most per_class labelled documents of each class that fulfil
     `where`. The strongest most_stems stems at most, with their longer forms, and four figures a document reach the driver.
+    per_document: contexts that one document adds to a stem at most, so that no single document makes a stem.
     """
+    spark = docs.sparkSession
     sample = staged(labelled_sample(docs, labels, "toxic", where, per_class))
     counts = staged(
-        sample.mapInArrow(_prefix_rows, "prefix string, context long, toxic int")
-        .groupBy("prefix", "context")
+        sample.mapInArrow(lambda batches: _stem_rows(batches, per_document), "stem string, context long, toxic int")
+        .groupBy("stem", "context")
         .agg(F.max("toxic").alias("t"))
-        .groupBy("prefix")
+        .groupBy("stem")
         .agg(F.sum("t").alias("t"), F.sum(1 - F.col("t")).alias("n"))
         .where("t + n >= 3")
     )
-    strong = counts.where("t >= 4 and t >= 4 * n").orderBy(F.desc("t"), "prefix").limit(most_stems).collect()
-    roots = sorted({r.prefix for r in strong if _clear(r.t, r.n)})
-    roots = [p for p in roots if not any(p[:k] in roots for k in range(PREFIXES[0], len(p)))]
-    forms = counts.where(F.coalesce(*(F.when(F.substring("prefix", 1, k).isin([r for r in roots if len(r) == k]), True) for k in PREFIXES), F.lit(False))).collect() if roots else []
-    grammar = Grammar(weights({r.prefix: (r.t, r.n) for r in forms}))
-    shared = docs.sparkSession.sparkContext.broadcast(grammar.stems)
+    strong = counts.where("t >= 4 and t >= 4 * n").orderBy(F.desc("t"), "stem").limit(most_stems).collect()
+    roots = {r.stem for r in strong if _clear(r.t, r.n)}
+    roots = sorted(p for p in roots if not any(p[:k] in roots for k in range(PREFIXES[0], len(p))))
+    starts = spark.createDataFrame([(r,) for r in roots], "root string")
+    heads = F.transform(F.sequence(F.lit(1), F.length("stem")), lambda n: F.substring("stem", F.lit(1), n))
+    forms = counts.withColumn("root", F.explode(heads)).join(F.broadcast(starts), "root", "left_semi").select("stem", "t", "n").distinct().collect()
+    grammar = Grammar(weights({r.stem: (r.t, r.n) for r in forms}))
+    shared = spark.sparkContext.broadcast(grammar.stems)
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(shared.value)
@@ -190,7 +281,7 @@ def _clear(t: int, n: int) -> bool:
 
 
 def weights(counts: dict[str, tuple[int, int]], prior: float = 2.0) -> dict[str, float]:
-    """prefix -> log odds of toxic contexts among words with this prefix and no longer one of the counted; where few are
+    """stem -> log odds of toxic contexts among words with this prefix and no longer one of the counted; where few are
     left, those of all words with this prefix decide."""
     out = {}
     below: dict[str, list[int]] = {}

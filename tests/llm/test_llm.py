@@ -233,9 +233,52 @@ def test_classifier_edges(spark, docs):
 
 
 def test_grammar_reads_clauses():
-    g = toxicity.Grammar({"idio": 6.0})
-    plain, denied, told, threat = map(g.score, ("you are an idiot", "you are not an idiot", "she said you are an idiot", "i will kill you"))
-    assert plain > told > 0.5 and denied < plain and threat > g.score("i will kill time") and g.score("") < 0.5
+    g = toxicity.Grammar({"idio": 6.0, "oaf$": 5.0})
+    w = lambda text: g.clause(text.lower().split())
+    assert w("you are an idiot") == w("you idiot") == w("idiot you") == pytest.approx(6 * toxicity.WITH_TARGET)
+    assert w("idiot are an you") == w("the idiot man") == w("idiot") == 6  # order decides whether a target governs
+    assert w("you are not an idiot") == w("i do not think you are an idiot") == pytest.approx(6 * toxicity.WITH_TARGET * toxicity.NEGATED)
+    assert w("you are an idiot not") == w("not him but you are an idiot") == pytest.approx(6 * toxicity.WITH_TARGET)  # a negation's scope
+    told = 6 * toxicity.WITH_TARGET * toxicity.REPORTED
+    assert w("she said you are an idiot") == w("you are an idiot she said") == pytest.approx(told)
+    assert w("she said hello to the idiot man") == pytest.approx(6 * toxicity.REPORTED)
+    assert w("i will kill you") == w("ich werde dich töten") == w("kill all of you") + 2 == 2 and w("i will kill time") == 0
+    assert w("you are an oaf") == pytest.approx(5 * toxicity.WITH_TARGET) and w("loaf of oafs") == 0
+    assert w("") == 0 and g.score("") < 0.5 < g.score("you are an idiot") and g.score("x " * 9) < g.score("i will kill you")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("idiot kill you not said a are but word idiots töten ne".split()), max_size=6))
+def test_best_path_equals_enumeration(words):
+    """The best path through the composition is the best of all sequences of arcs through the four transducers one after the other."""
+    g = toxicity.Grammar({"idio": 6.0, "töte": 1.5})
+    parts = [toxicity.negation(), toxicity.reported_speech(), toxicity.target(), toxicity.threat()]
+
+    def readings(states, i):
+        if i == len(words):
+            return [0.0] if all(s in p.final for s, p in zip(states, parts, strict=True)) else []
+        out = []
+        for kind, w in g.lexical(words[i]):
+            open_ = [(kind, w, ())]
+            for s, p in zip(states, parts, strict=True):
+                open_ = [(y, w * v, (*own, to)) for x, w, own in open_ for y, v, to in p.arcs[s].get(x, ())]
+            out += [w + rest for _, w, own in open_ for rest in readings(own, i + 1)]
+        return out
+
+    assert g.clause(words) == pytest.approx(max(readings((0,) * 4, 0), default=0.0))
+
+
+def test_short_words_can_be_learnt(spark):
+    rng, rows = random.Random(4), []
+    for i in range(200):
+        said = [f"w{rng.randrange(500)}" for _ in range(30)]
+        if i % 2:
+            for _ in range(3):
+                said.insert(rng.randrange(len(said)), "zyx")
+        rows.append((i, " ".join(said), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    g = toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"), F.lit(True))
+    assert g.stems["zyx$"] > 1 and g.score("you zyx") > 0.5 > g.score("you zyxw")
 
 
 # ---- main text
