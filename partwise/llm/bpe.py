@@ -149,8 +149,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    digest = hashlib.sha256(repr((len(ranks), pattern, sorted(ranks.items())[:: max(1, len(ranks) // 1000)])).encode())
-    key = digest.hexdigest()
+    key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(key, shared, pattern)

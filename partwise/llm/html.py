@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame
 
 from partwise.llm.common import column, slices, with_columns
 
-# Elements that begin a block, that never hold text, and whose text is never shown.
+# Elements that begin a block, that never hold text, whose text is never shown, and which of these hold raw text, that
+# runs to the end of the page if it isn't closed, or can't hold a block, so that a block ends them.
 BLOCKS = set("html body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption form fieldset legend figure figcaption blockquote pre address details summary dialog center menu hgroup label".split())
 VOID = set("br hr img input meta link area base col embed source track wbr param".split())
-UNSHOWN = "script|style|noscript|template|textarea|title|head|select|button|iframe|svg|math|object|canvas|option"
+RAW = "script|style|textarea|title|iframe"
+ENDED = set("select button svg option optgroup datalist".split())
+UNSHOWN = ENDED | set("noscript template object canvas".split())
 CLOSES_P = BLOCKS - {"label"}
 ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot")}
 # Words of class and id, by what they tell.
@@ -48,11 +51,10 @@ KEYWORDS = {
 WORD_KIND = {w: k for k, each in KEYWORDS.items() for w in each}
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNSHOWN})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-HEAD_FREE = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
 LETTERS = re.compile(r"[a-z]+")
@@ -67,6 +69,8 @@ class Tree:
         run: list[str] = []
         linked = 0
         in_link = False
+        unshown: list[str] = []  # open elements whose text isn't shown
+        inside = 0  # blocks opened in these
 
         def flush() -> None:
             nonlocal linked
@@ -82,7 +86,7 @@ class Tree:
 
         at = 0
         for m in TOKEN.finditer(page):
-            if m.start() > at:
+            if m.start() > at and not unshown:
                 run.append(said := page[at : m.start()])
                 linked += len(said) if in_link else 0
             at = m.end()
@@ -90,6 +94,26 @@ class Tree:
             if name is None:
                 continue
             tag = name.lower()
+            if tag in UNSHOWN:
+                if ends and tag in unshown:
+                    del unshown[len(unshown) - 1 - unshown[::-1].index(tag) :]
+                elif not ends and not more.endswith("/") and (tag in ENDED or page.find("</" + name, at) >= 0):
+                    if unshown and unshown[-1] == tag == "option":
+                        continue
+                    unshown.append(tag)
+                    inside = 0
+                    run.append(" ")
+                continue
+            if unshown:
+                if tag not in BLOCKS:
+                    continue
+                if unshown[-1] in ENDED or ends and not inside:
+                    # a block can't stand in these, and the end of a block around them is theirs
+                    while unshown and (unshown[-1] in ENDED or ends):
+                        unshown.pop()
+                if unshown:
+                    inside += -1 if ends else 1
+                    continue
             if tag not in BLOCKS:
                 if tag == "a":
                     in_link = not ends
@@ -115,7 +139,7 @@ class Tree:
             stack.append(self._add(stack[-1], (tag, more.strip() if not more.endswith("/") else more[:-1].strip()), None))
             tags.append(tag)
             opened[tag] += 1
-        if at < len(page):
+        if at < len(page) and not unshown:
             run.append(page[at:])
             linked += len(page) - at if in_link else 0
         flush()
@@ -237,7 +261,7 @@ class Model:
         return out
 
     def main_text(self, page: str | None) -> str:
-        tree = Tree(HEAD_FREE.sub(" ", page or "", count=1))
+        tree = Tree(page or "")
         return "\n\n".join(t for t, p in zip(tree.text, self.marginals(tree), strict=True) if t is not None and p > 0.5)
 
 

@@ -30,7 +30,7 @@ WORD_WEIGHT = 0.25
 
 
 def _shape(word: str) -> str:
-    return "".join(k for k, _ in groupby("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))[:12]
+    return "".join(k for k, _ in groupby("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 class Terms:

@@ -294,11 +294,66 @@ def test_main_text_of_labelled_pages():
     assert wrong / n < 0.02
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>T</title><meta charset=utf-8><article><h1>Head line</h1><p>It has no end tag of its head.</p></article>", "Head line\n\nIt has no end tag of its head."),
+    ("<body><div><button>Share</div><article><h1>Head line</h1><p>The button has no end.</p></article>", "Head line\n\nThe button has no end."),
+    ("<body><button>Share<article><h1>Head line</h1><p>The button has no end.</p></article><button>x</button>", "Head line\n\nThe button has no end."),
+    ("<body><datalist><option value=a>x<option value=b>y</datalist><article><h1>Head line</h1><p>Options need no end.</p></article>", "Head line\n\nOptions need no end."),
+    ("<body><form><select><option>x<option>y</select></form><article><h1>Head line</h1><p>Options need no end.</p></article>", "Head line\n\nOptions need no end."),
+    ("<body><svg><path d='M0'/><text>x</text><article><h1>Head line</h1><p>The picture has no end.</p></article>", "Head line\n\nThe picture has no end."),
+    ("<body><object data=x><article><h1>Head line</h1><p>The object has no end.</p></article>", "Head line\n\nThe object has no end."),
+    ("<body><div><canvas><p>no canvas</p></div><article><h1>Head line</h1><p>It ends with its block.</p></article><canvas></canvas>", "Head line\n\nIt ends with its block."),
+    ("<body><article><h1>Head line</h1><p>We know <math><mi>x</mi><mo>=</mo><mn>1</mn></math> from this text.</p></article>", "Head line\n\nWe know x=1 from this text."),
+    ("<body><article><h1>Head line</h1><p>Text before<script>var x='</p>'; and no end", "Head line\n\nText before"),
+])
+def test_main_text_of_open_elements(page, text):
+    assert html.Model(html.labelled_pages()).main_text(page) == text
+
+
+def test_main_text_equals_the_article(spark):
+    """The tables' pages hold one article each: its blocks, read by another parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.parts = False, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag in ("h1", "p", "div", "li", "ul"):
+                self.parts.append([])
+            elif tag == "br":
+                self.parts[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("h1", "p", "div", "li", "ul", "article"):
+                self.parts.append([])
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts[-1].append(data)
+
+    n = 0
+    truth = {}
+    for r in table(spark, DIR, "pages", "page_id", "html").collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        reader.close()
+        truth[r.page_id] = "\n\n".join(t for t in (" ".join("".join(p).split()) for p in reader.parts) if t)
+    for r in queries.op6_main_text(spark, DIR).collect():
+        assert r.text == truth[r.page_id] and r.n_chars == len(r.text)
+        n += 1
+    assert n == len(truth) > 0
+
+
 def test_main_text_edges(spark):
     pages = [None, "", "<p", "<div>" * 3000 + "x", "<script>var a='<p>no</p>'</script>", "<article><h1>A &amp; B<b> c\n d</b></h1><p>E f.<p>G.</article><footer>f</footer>"]
-    df = spark.createDataFrame([(i, "u", h, "t") for i, h in enumerate(pages)], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(i, "u", h, "t") for i, h in enumerate([*pages, pages[5]])], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html.extract(df).collect()}
-    assert got[5] == "A & B c d\n\nE f.\n\nG." and got[0] == got[1] == got[4] == "" and len(got) == 6
+    assert got[5] == got[6] == "A & B c d\n\nE f.\n\nG." and got[0] == got[1] == got[4] == "" and len(got) == 7
+    assert html.extract(df.where("false")).count() == 0
 
 
 def test_sum_product_equals_enumeration():
