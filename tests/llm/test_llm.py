@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers as tokenizers
@@ -57,6 +58,17 @@ def test_bpe_edges(docs, ranks, both):
     assert bpe.encode(docs([]), ranks, tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_two_vocabularies(docs, ranks):
+    """Vocabularies that differ in one entry alone are told apart, and further columns don't clash."""
+    swapped = dict(ranks)
+    a, b = [k for k in ranks if len(k) > 3][1000:1002]
+    swapped[a], swapped[b] = ranks[b], ranks[a]
+    text = a.decode("utf-8", "ignore")
+    df = docs([text]).withColumn("n_tokens", F.lit("mine")).withColumn("ids", F.lit(1))
+    one, two = (bpe.encode(df, r, tokenizers.PATTERN).first().ids for r in (ranks, swapped))
+    assert one != two and bpe.Encoder(swapped, tokenizers.PATTERN).encode(text) == two
+
+
 # ---- near duplicates
 
 
@@ -194,6 +206,8 @@ def test_licences(docs):
 
 
 def test_every_sentence_and_rule_is_found():
+    owner = {licences.normal(s): k for k, each in licences.SENTENCES.items() for s in each}
+    assert len(owner) == len({(licences.normal(s), k) for k, each in licences.SENTENCES.items() for s in each})  # no sentence has two identifiers
     for k, each in licences.SENTENCES.items():
         for s in each:
             assert licences.identifiers(s) == licences.identifiers(f"One more.\n{s}.\nText.") == [k], s
@@ -204,12 +218,63 @@ def test_every_sentence_and_rule_is_found():
 
 @pytest.mark.parametrize("sign", ["// ", "/* ", "; ", "| ", "% ", "! ", "= ", "-" * 70 + " ", "/" * 70 + " "])
 def test_licences_behind_signs(sign):
-    assert licences.identifiers(f"{sign}Licensed under the MIT License\n{sign}All rights reserved.") == ["mit.notice", "reserved"]
+    assert licences.identifiers(f"{sign}Licensed under the MIT License\n{sign}All rights reserved.") == ["MIT.notice", "reserved"]
 
 
 def test_licences_of_lines_beside_a_wrapped_sentence():
     grant = licences.SENTENCES["mit.grant"][0].replace(" ", "\n * ", 12)
-    assert licences.identifiers(f"All rights reserved\n * {grant}\n * Licensed under CC BY 4.0") == ["reserved", "mit.grant", "cc_by.notice"]
+    assert licences.identifiers(f"All rights reserved\n * {grant}\n * Licensed under CC BY 4.0") == ["reserved", "mit.grant", "CC-BY-4.0.notice"]
+
+
+KNOWN_SENTENCES = {licences.normal(s): k for k, each in licences.SENTENCES.items() for s in each}
+
+
+def brute_licences(text):
+    """Every run of parts of a paragraph is compared with every known sentence; every subsequence of every rule with the text's identifiers."""
+    from itertools import combinations
+
+    known, ids = KNOWN_SENTENCES, []
+    for paragraph in re.split(r"\n\s*\n", text or ""):
+        parts, i = re.split(r"\n+|(?<=[.!?;:])\s+(?=\S)", paragraph), 0
+        while i < len(parts):
+            runs = [j for j in range(i + 1, len(parts) + 1) if licences.normal(" ".join(parts[i:j])) in known and licences.normal(parts[i])]
+            if runs:
+                ids.append(known[licences.normal(" ".join(parts[i : runs[-1]]))])
+            i = runs[-1] if runs else i + 1
+    found = {}
+    for name, rule, least in licences.RULES:
+        for n in range(len(rule), 0, -1):
+            rest = lambda sub: (it := iter(ids)) and all(x in it for x in sub)
+            if any(rest(sub) for sub in combinations(rule, n)):
+                if n / len(rule) >= least - 0.01:
+                    found[name] = max(n / len(rule), found.get(name, 0))
+                break
+    if "BSD-3-Clause" in found:
+        found.pop("BSD-2-Clause", None)
+    return sorted(found), [found[k] for k in sorted(found)], len(ids)
+
+
+def test_licences_equal_brute_force(spark, docs):
+    import zlib
+
+    rng = random.Random(8)
+    every = [s for each in licences.SENTENCES.values() for s in each]
+    heavy = [s for k, each in licences.SENTENCES.items() for s in each if not k.endswith(".notice")]
+    texts = [None, ""]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 8)):
+            s = rng.choice(heavy if rng.random() < 0.7 else every)
+            if rng.random() < 0.3:
+                s = s.replace(" ", rng.choice(("\n", "\n * ", "  ")), rng.randint(1, 9))
+            parts.append(rng.choice(("", "// ", "* ", "Some text here. ")) + s + rng.choice((".", ".", "", " indeed.")))
+        texts.append(rng.choice(("\n", " ", "\n\n")).join(parts))
+    texts += [r.text for r in table(spark, DIR, "documents", "doc_id", "text").collect() if zlib.crc32(str(r.doc_id).encode()) % 40 == 0]
+    got = {r.doc_id: (r.licences, r.coverage, r.n_sentences) for r in licences.scan(docs(texts)).collect()}
+    for i, t in enumerate(texts):
+        names, coverage, n = brute_licences(t)
+        assert got[i][0] == names and got[i][1] == pytest.approx(coverage) and got[i][2] == n, t
+    assert licences.scan(docs([])).count() == 0
 
 
 # ---- classifiers
@@ -223,6 +288,31 @@ def test_held_out_accuracy(spark, name, label, n, fold, least):
     assert got.where(remainder("doc_id", n) != fold).count() == 0
 
 
+def test_votes_equal_brute_force(spark):
+    """The scores of the operator, from plain loops over all labelled vectors."""
+    docs = table(spark, DIR, "documents", "doc_id", "text")
+    space = quality.learn(docs, table(spark, DIR, "labels", "doc_id", "quality"), F.lit(True), per_class=60)
+    got = {r.doc_id: r.score for r in quality.score(docs, space).collect()}
+    terms = quality.Terms()
+    for r in docs.where("doc_id % 10 = 0").collect():
+        ids, values = terms.of(r.text)
+        z = [sum(float(v) * float(space.idf[i]) * float(space.basis[i, d]) for i, v in zip(ids, values, strict=True)) for d in range(space.basis.shape[1])]
+        size = sum(x * x for x in z) ** 0.5 or 1.0
+        near = sorted(((sum(x * float(y) for x, y in zip(z, v, strict=True)) / size, float(label)) for v, label in zip(space.vectors, space.labels, strict=True)), reverse=True)[:15]
+        weight = [max(c, 0) ** 4 for c, _ in near]
+        assert got[r.doc_id] == pytest.approx((sum(w * label for w, (_, label) in zip(weight, near, strict=True)) + 5e-4) / (sum(weight) + 1e-3), abs=1e-3)
+
+
+def test_classifier_rows(spark):
+    """Null and repeated ids each keep their row; labels of null ids or other values are no labels."""
+    rows = [(None, "good text of many words"), (None, "good text of many words"), (3, "bad"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1, 1), (3, 0, 0), (3, 1, 1), (9, 7, 7)], "doc_id long, quality int, toxic int")
+    for m in (quality, toxicity):
+        assert m.score(df, m.learn(df, labels, F.lit(True))).count() == 4
+        assert m.score(df.where("false"), m.learn(df.where("false"), labels, F.lit(True))).count() == 0
+
+
 def test_classifier_edges(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     own = docs(EDGE, True)
