@@ -8,14 +8,15 @@ a coordinate stays empty, the rank is doubled.
 
 Exact copies fold into one node first. Bands of 7 coordinates name buckets. A node's score is the number of other members of its buckets, so
 of copies of one text the text that they vary scores most. The members of a bucket are compared with its member of the highest score,
-the centre, not with each other. In a bucket of more than 8 members where someone then has no link, the members without a link meet
+the centre. In a bucket of more than 8 members where someone then has no link, the members without a link meet
 8 deputies, the highest scores of its members by residue of the id, and all its members are dealt anew by longer bands, of 10 and of 14 coordinates, and compared with
-those buckets' centres. Last, all pairs that share a bucket and lie in different components of the links so far are compared, but for those whose numbers of
-shingles alone keep them below the threshold. A pair counts if its exact weighted Jaccard similarity is at least the threshold. Classes are the connected components of the links.
+those buckets' centres. This only saves work, for then, in buckets of every size, all pairs that lie in different components of the links so far are compared, but for
+those whose numbers of shingles alone keep them below the threshold. A pair counts if its exact weighted Jaccard similarity is at least the threshold. Classes are the
+connected components of the links.
 
-With 32 bands a pair of similarity 0.8 shares no bucket with probability 0.0005, one of 0.85 with 0.000005; these links are lost. Every link whose ends share a bucket,
-or a path of others between its ends, is found. The last step takes, in each bucket, the members outside its largest component times all members: nothing where a bucket
-is one class, but the square of the size of a bucket of unlike texts.
+So the classes are those that comparing all pairs of all buckets would give: a pair that isn't compared has its ends in one component. What banding itself
+can lose: with 32 bands a pair of similarity 0.8 shares no bucket with probability 0.0005, one of 0.85 with 0.000005. The last step takes, in each bucket, the members outside its
+largest component times all members: nothing where a bucket is one class, but the square of the size of a bucket of unlike texts.
 
 Hot groups: counts and minima are pre-aggregated; joins read staged tables, so AQE splits a hot copy, bucket or centre.
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from partwise.llm.common import column, put_back, set_aside, slices, staged, with_columns
+from partwise.llm.common import column, discard, put_back, set_aside, slices, staged, with_columns
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 7
 #: By so many coordinates the bands for members without a link are longer.
@@ -136,7 +137,7 @@ class Sketcher:
         n = self.rows + longer
         at = (np.arange(self.bands)[:, None] * self.rows + np.arange(n)) % self.k
         parts = signature[at] * (np.arange(n, dtype=U) * U(2) + U(1))
-        return mix(parts.sum(1) + U(n) * STEP[0] + np.arange(1, self.bands + 1, dtype=U) * STEP[1]).view(np.int64)
+        return mix(parts.sum(1) + U(n * int(STEP[0]) & (1 << 64) - 1) + np.arange(1, self.bands + 1, dtype=U) * STEP[1]).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -184,18 +185,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last, of_last = Sketcher(width=width), None, None
-        for batch in slices(batches, 256):
-            ok = []
-            for b, x, y in zip(column(batch, "b"), column(batch, "text_a"), column(batch, "text_b"), strict=True):
-                if b != last:
-                    last, of_last = b, own.shingles(words_of(y))
-                ok.append(similarity(own.shingles(words_of(x)), of_last) >= threshold)
-            yield with_columns(batch, ["a", "b"], {"ok": pa.array(ok, pa.bool_())})
+        weighed = Weighed(width)
+        for batch in slices(batches, 4096):
+            yield with_columns(batch, ["a", "b"], {"ok": pa.array(weighed.similarities(batch) >= threshold, pa.bool_())})
 
     return both.mapInArrow(run, "a long, b long, ok boolean")
 
 
+class Weighed:
+    """Shingles and counts of texts by their uid, kept until there are too many of them."""
+
+    def __init__(self, width: int, most: int = 4_000_000):
+        self.sketcher, self.most, self.held, self.size = Sketcher(width=width), most, {}, 0
+
+    def of(self, uid: int, text) -> tuple[np.ndarray, np.ndarray]:
+        if (own := self.held.get(uid)) is None:
+            if self.size > self.most:
+                self.held, self.size = {}, 0
+            own = self.held[uid] = np.unique(self.sketcher.shingles(words_of(text.as_py())), return_counts=True)
+            self.size += len(own[0])
+        return own
+
+    def similarities(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The weighted Jaccard similarity of each row's texts; all texts that meet the same b are looked up in it at once."""
+        ids = [batch.column(c).to_numpy() for c in ("a", "b")]
+        texts = [batch.column(c) for c in ("text_a", "text_b")]
+        out, order = np.empty(batch.num_rows), np.argsort(ids[1], kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(ids[1][order])) + 1):
+            x, n = self.of(int(ids[1][rows[0]]), texts[1][int(rows[0])])
+            others = [self.of(int(ids[0][r]), texts[0][int(r)]) for r in rows]
+            starts = np.cumsum([0, *(len(y) for y, _ in others)])
+            y, m = (np.concatenate(z) for z in zip(*others, strict=True))
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = np.add.reduceat(np.where(x[at] == y, np.minimum(n[at], m), 0), starts[:-1])
+            out[rows] = both / (np.add.reduceat(m, starts[:-1]) + n.sum() - both)
+        return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of edges (a, b): root is the least node of its component. Large-star and small-star steps
     alternate until nothing changes; each step's minima are pre-aggregated and staged."""
@@ -209,11 +235,12 @@ def components(edges: DataFrame) -> DataFrame:
             )
         told = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")))
-        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("root").alias("v")).distinct())
+        first = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")))
+        large = staged(both.join(first, "u").where("v > u").select(F.col("v").alias("u"), F.col("root").alias("v")).distinct())
         least = staged(large.groupBy("u").agg(F.min("v").alias("root")))
         small = large.join(least, "u").where("v != root").select(F.col("v").alias("u"), F.col("root").alias("v"))
-        e = staged(small.unionByName(least.select("u", F.col("root").alias("v"))).distinct())
+        before, e = e, staged(small.unionByName(least.select("u", F.col("root").alias("v"))).distinct())
+        discard(before, first, large, least)
 
 
 def _centres(rows: DataFrame) -> DataFrame:

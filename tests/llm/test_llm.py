@@ -153,6 +153,47 @@ def test_dedup_empty(docs):
     assert dedup.near_duplicates(docs([None, None, ""])).where("kept").count() == 3
 
 
+def test_dedup_equals_all_pairs_of_all_buckets(spark, docs):
+    """Texts about the threshold from one, in buckets of many sizes: the classes are those of comparing every pair that shares a bucket."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(1000)}" for _ in range(150)]
+    texts = []
+    for i in range(260):
+        own = base[:]
+        for at in rng.sample(range(len(own)), rng.choice((1, 2, 3, 4, 5, 6))):
+            own[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    got = dedup.near_duplicates(docs(texts)).collect()
+    s = dedup.Sketcher()
+    own = [s.shingles(t.split()) for t in texts]
+    keys = [set(s.band_keys(s.signature(x)).tolist()) for x in own]
+    root = [*range(len(texts))]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and dedup.similarity(own[i], own[j]) >= dedup.THRESHOLD:
+                root[find(i)] = find(j)
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    expected = {}
+    for i in range(len(texts)):
+        expected.setdefault(find(i), set()).add(i)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, expected.values())) and 1 < len(classes) < 260
+
+
+def test_dedup_of_equal_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (5, text + " more"), (5, "another text altogether"), (5, None), (7, "")]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and sum(r.kept for r in got) == 4 and sorted(r.class_size for r in got) == [1, 1, 1, 3, 3, 3]
+
+
 def test_signature_estimates_weighted_jaccard():
     s = dedup.Sketcher()
     a = words(300)
