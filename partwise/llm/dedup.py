@@ -8,15 +8,15 @@ a coordinate stays empty, the rank is doubled.
 
 Exact copies fold into one node first. Bands of 7 coordinates name buckets. A node's score is the number of other members of its buckets, so
 of copies of one text the text that they vary scores most. The members of a bucket are compared with its member of the highest score,
-the centre. In a bucket of more than 8 members where someone then has no link, the members without a link meet
-8 deputies, the highest scores of its members by residue of the id, and all its members are dealt anew by longer bands, of 10 and of 14 coordinates, and compared with
-those buckets' centres. This only saves work, for then, in buckets of every size, all pairs that lie in different components of the links so far are compared, but for
-those whose numbers of shingles alone keep them below the threshold. A pair counts if its exact weighted Jaccard similarity is at least the threshold. Classes are the
-connected components of the links.
+the centre. Then each bucket's members outside of its largest component of the links so far meet all its members of other components: in buckets of
+up to 64 members pair by pair, but for pairs whose numbers of shingles alone keep them below the threshold; in larger ones by blocks of about a thousand
+members, where a product of incidence matrices (members by regions) gives the exact similarities, and a block tells no more links than join its components. So the pairs that are
+rows are bounded by the members, and no task holds more than two blocks. A pair counts if its exact weighted Jaccard similarity is at least the threshold. Classes
+are the connected components of the links.
 
 So the classes are those that comparing all pairs of all buckets would give: a pair that isn't compared has its ends in one component. What banding itself
-can lose: with 32 bands a pair of similarity 0.8 shares no bucket with probability 0.0005, one of 0.85 with 0.000005. The last step takes, in each bucket, the members outside its
-largest component times all members: nothing where a bucket is one class, but the square of the size of a bucket of unlike texts.
+can lose: with 32 bands a pair of similarity 0.8 shares no bucket with probability 0.0005, one of 0.85 with 0.000005. Blocks are no work where a bucket is one class; in a
+bucket of unlike texts their number is the square of the number of its thousands.
 
 Hot groups: counts and minima are pre-aggregated; joins read staged tables, so AQE splits a hot copy, bucket or centre.
 
@@ -40,10 +40,8 @@ from xxhash import xxh3_64_intdigest
 from partwise.llm.common import column, discard, put_back, set_aside, slices, staged, with_columns
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 7
-#: By so many coordinates the bands for members without a link are longer.
-LONGER = (3, 7)
-#: So many more members of a large bucket meet those of its members that have no link.
-DEPUTIES = 8
+#: Buckets of up to so many members are compared by pairs, larger ones by blocks of about so many members and shingles.
+SMALL, BLOCK_NODES, BLOCK_SHINGLES = 64, 1024, 1 << 20
 U = np.uint64
 STEP = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -132,12 +130,10 @@ class Sketcher:
                 return out
             factor *= 2
 
-    def band_keys(self, signature: np.ndarray, longer: int = 0) -> np.ndarray:
-        """A key for each band; a longer band goes on with the coordinates of the next ones."""
-        n = self.rows + longer
-        at = (np.arange(self.bands)[:, None] * self.rows + np.arange(n)) % self.k
-        parts = signature[at] * (np.arange(n, dtype=U) * U(2) + U(1))
-        return mix(parts.sum(1) + U(n * int(STEP[0]) & (1 << 64) - 1) + np.arange(1, self.bands + 1, dtype=U) * STEP[1]).view(np.int64)
+    def band_keys(self, signature: np.ndarray) -> np.ndarray:
+        """A key for each band."""
+        parts = signature.reshape(self.bands, self.rows) * (np.arange(self.rows, dtype=U) * U(2) + U(1))
+        return mix(parts.sum(1) + np.arange(1, self.bands + 1, dtype=U) * STEP[1]).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -154,26 +150,23 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _sketch(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """docs with uid (unique), digest (of the words; uid's bytes if there are none), keys (a long for each band), finer (of longer bands),
-    n_shingles."""
+    """docs with uid (unique), digest (of the words; uid's bytes if there are none), keys (a long for each band), n_shingles."""
     keep = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketcher(bands, rows, width)
         for batch in slices(batches, 256):
-            digests, keys, finer, counts = [], [], [], []
+            digests, keys, counts = [], [], []
             for uid, text in zip(column(batch, "uid"), column(batch, "text"), strict=True):
                 words = words_of(text)
                 digests.append(blake2b("\n".join(words).encode(), digest_size=16).digest() if words else uid.to_bytes(8))
                 shingles = own.shingles(words) if words else ()
-                signature = own.signature(shingles) if words else None
                 counts.append(len(shingles))
-                keys.append(own.band_keys(signature) if words else [])
-                finer.append(np.concatenate([own.band_keys(signature, n) for n in LONGER]) if words else [])
-            yield with_columns(batch, [*keep, "uid"], {"digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "finer": pa.array(finer, pa.list_(pa.int64())), "n_shingles": pa.array(counts, pa.int64())})
+                keys.append(own.band_keys(own.signature(shingles)) if words else [])
+            yield with_columns(batch, [*keep, "uid"], {"digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "n_shingles": pa.array(counts, pa.int64())})
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"{fields}, uid long, digest binary, keys array<long>, finer array<long>, n_shingles long")
+    return docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"{fields}, uid long, digest binary, keys array<long>, n_shingles long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -243,13 +236,6 @@ def components(edges: DataFrame) -> DataFrame:
         discard(before, first, large, least)
 
 
-def _centres(rows: DataFrame) -> DataFrame:
-    """(key, n, centre, alone_c) of each bucket of several rows (key, node, score, alone): the centre is the member of the highest score."""
-    most = F.max(F.struct("score", "node", "alone")).alias("most")
-    told = rows.groupBy("key").agg(F.count("*").alias("n"), most).where("n > 1")
-    return staged(told.select("key", "n", F.col("most.node").alias("centre"), F.col("most.alone").alias("alone_c")))
-
-
 def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """texts (uid, text) of nodes (uid, once each).
 
@@ -259,17 +245,9 @@ def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return staged(texts.join(nodes.hint("merge"), "uid", "left_semi"))
 
 
-def _across(rows: DataFrame, counts: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket of rows (key, node) and lie in different components; found: (node, root), of linked nodes.
-
-    Each such pair has an end outside its bucket's largest component. Pairs that differ so much in the number of shingles (counts: node,
-    n_shingles) that they can't reach the threshold are left out.
-    """
-    own = counts.join(found, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("root"))
-    rows = staged(rows.select("key", "node").join(staged(own), "node"))
-    parts = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
-    most = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    rows = staged(rows.join(staged(most.select("key", F.col("most.root").alias("largest"))), "key"))
+def _small_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members in different components of buckets of rows (key, node, n_shingles, root, largest): each has an end outside its
+    bucket's largest component. Pairs that differ so much in the number of shingles that they can't reach the threshold are left out."""
     rest = rows.where("root != largest").select("key", F.col("node").alias("other"), F.col("root").alias("root_o"), F.col("n_shingles").alias("n_o"))
     near = F.least("n_shingles", "n_o") >= F.greatest("n_shingles", "n_o") * F.lit(threshold - 1e-9)
     once = (F.col("root") == F.col("largest")) | (F.col("node") > F.col("other"))
@@ -277,44 +255,108 @@ def _across(rows: DataFrame, counts: DataFrame, found: DataFrame, threshold: flo
     return met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, sketches: DataFrame, threshold: float, width: int, small: int = 8) -> DataFrame:
-    """Links (a, b) between nodes (node) of sketches (uid, text, keys, finer, n_shingles), or the nodes' roots: see above.
-    small: above this size a bucket has deputies and is dealt anew."""
-    a, b = F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")
+def joining(rest: list[tuple[int, np.ndarray]], every: list[tuple[int, np.ndarray]], threshold: float, columns: int = 2048) -> list[tuple[int, int]]:
+    """Links (index in rest, index in every) that join the components of two lists of (component, sorted regions) as all their links would."""
+    both = [*rest, *every]
+    sizes = np.array([len(x) for _, x in both])
+    of = np.repeat(np.arange(len(both)), sizes)
+    regions, column_of, count = np.unique(np.concatenate([x for _, x in both]), return_inverse=True, return_counts=True)
+    shared = count > 1  # a region of one text alone is in no overlap
+    number = np.cumsum(shared) - 1
+    keep = shared[column_of]
+    of, column_of = of[keep], number[column_of[keep]]
+    order = np.argsort(column_of, kind="stable")
+    of, column_of = of[order], column_of[order]
+    overlap = np.zeros((len(rest), len(every)), np.float32)
+    for low in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(column_of, (low, low + columns))
+        has = np.zeros((len(both), columns), np.float32)
+        has[of[a:b], column_of[a:b] - low] = 1
+        overlap += has[: len(rest)] @ has[len(rest) :].T
+    overlap = np.rint(overlap).astype(np.int64)
+    n, m = sizes[: len(rest), None], sizes[None, len(rest) :]
+    roots, root_of = np.unique([r for r, _ in both], return_inverse=True)
+    x, y = root_of[: len(rest), None], root_of[None, len(rest) :]
+    i, j = np.nonzero((overlap / (n + m - overlap) >= threshold) & (x != y))
+    _, first = np.unique(x[i, 0] * len(roots) + y[0, j], return_index=True)
+    up = [*range(len(roots))]
+
+    def find(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    out = []
+    for at in first.tolist():
+        p, q = find(int(x[i[at], 0])), find(int(y[0, j[at]]))
+        if p != q:
+            up[p] = q
+            out.append((int(i[at]), int(j[at])))
+    return out
+
+
+def _block_links(rows: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) between members in different components of buckets of rows (key, node, n_shingles, root, largest), by blocks."""
+    outside = F.col("root") != F.col("largest")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    told = rows.groupBy("key").agg(
+        blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"), blocks(F.count_if(outside), F.sum(F.when(outside, F.col("n_shingles")))).alias("rest_blocks")
+    )
+    own = rows.join(staged(told), "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    rest = own.where(outside).select("key", block("rest_blocks").alias("i"), upto("blocks").alias("j"), F.lit(0).alias("side"), "node", "root")
+    every = own.select("key", upto("rest_blocks").alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"), "node", "root")
+    sent = rest.unionByName(every).join(texts.withColumnRenamed("uid", "node"), "node").select("key", "i", "j", "side", "node", "root", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(width=width)
+
+        def found(sides) -> pa.RecordBatch:
+            pairs = joining(*[[(r, x) for _, r, x in own] for own in sides], threshold) if all(sides) else []
+            ends = [(sides[0][i][0], sides[1][j][0]) for i, j in pairs]
+            return pa.RecordBatch.from_arrays([pa.array([f(e) for e in ends], pa.int64()) for f in (max, min)], names=["a", "b"])
+
+        at, sides = None, ([], [])
+        for batch in slices(batches, 256):
+            for key, i, j, side, node, root, text in zip(*(column(batch, c) for c in batch.schema.names), strict=True):
+                if at != (key, i, j):
+                    if at is not None:
+                        yield found(sides)
+                    at, sides = (key, i, j), ([], [])
+                sides[side].append((node, root, np.sort(sketcher.regions(sketcher.shingles(words_of(text))))))
+        if at is not None:
+            yield found(sides)
+
+    return sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(nodes: DataFrame, sketches: DataFrame, threshold: float, width: int, small: int = SMALL) -> DataFrame:
+    """Links (a, b) between nodes (node) of sketches (uid, text, keys, n_shingles), or the nodes' roots: see above.
+    small: above this size a bucket is compared by blocks; the classes don't depend on it."""
     own = sketches.select(F.col("uid").alias("node"), "keys").join(nodes.hint("merge"), "node")
-    rows = staged(own.select(F.explode("keys").alias("key"), "node"))
-    sizes = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    rows = staged(rows.join(sizes, "key"))
-    scores = staged(rows.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score")))
-    rows = staged(rows.select("key", "node").join(scores, "node").withColumn("alone", F.lit(True)))
-    centres = _centres(rows)
-    rows = rows.drop("alone")
+    all_rows = staged(own.select(F.explode("keys").alias("key"), "node"))
+    sizes = staged(all_rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    sized = staged(all_rows.join(sizes, "key"))
+    scores = staged(sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score")))
+    rows = staged(sized.join(scores, "node"))
+    discard(all_rows, sizes, sized)
+    centres = staged(rows.groupBy("key").agg(F.max(F.struct("score", "node")).alias("most")).select("key", F.col("most.node").alias("other")))
     texts = _texts_of(scores.select(F.col("node").alias("uid")), sketches.select("uid", "text"))
-    first = rows.join(centres, "key").where("node != centre").withColumnRenamed("centre", "other")
-    known = staged(_verified(staged(first.select(a, b).distinct()), texts, threshold, width))
-    ok = known.where("ok")
-    linked = staged(ok.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("linked", F.lit(True)))
-    # the rows of large buckets in which someone has no link
-    shared = rows.join(centres.where(F.col("n") > small).select("key"), "key").join(linked, "node", "left")
-    shared = staged(shared.select("key", "node", "score", F.isnull("linked").alias("alone")))
-    open_keys = staged(shared.where("alone").select("key").distinct())
-    large = staged(shared.join(open_keys, "key"))
-    deputies = staged(large.groupBy("key", F.pmod("node", F.lit(DEPUTIES)).alias("slot")).agg(F.max(F.struct("score", "node")).alias("most")))
-    pairs = large.where("alone").join(deputies.select("key", F.col("most.node").alias("other")), "key").where("node != other").select(a, b)
-    many = staged(large.select("node", "score", "alone").distinct())
-    finer = sketches.select(F.col("uid").alias("node"), "finer").join(many, "node")
-    finer = staged(finer.select(F.explode("finer").alias("key"), "node", "score", "alone"))
-    met = finer.join(_centres(finer), "key").where("node != centre and (alone or alone_c)").withColumnRenamed("centre", "other")
-    pairs = pairs.unionByName(met.select(a, b))
-    new = staged(pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
-    more = staged(_verified(new, texts, threshold, width))
-    known = known.unionByName(more)
+    first = rows.join(centres, "key").where("node != other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+    known = staged(_verified(staged(first.distinct()), texts, threshold, width))
     found = staged(components(known.where("ok")))
     counts = sketches.select(F.col("uid").alias("node"), "n_shingles").join(scores.select("node"), "node", "left_semi")
-    pairs = staged(_across(rows, counts, found, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"))
+    counts = staged(counts.join(found, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("root")))
+    open_ = staged(rows.select("key", "node", "n").join(counts, "node"))
+    parts = open_.groupBy("key", "root").agg(F.count("*").alias("m"))
+    most = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = staged(open_.join(staged(most.select("key", F.col("most.root").alias("largest"))), "key"))
+    pairs = staged(_small_pairs(open_.where(F.col("n") <= small), threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    last = staged(_verified(pairs, _texts_of(needed, texts), threshold, width))
-    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last.where("ok").select("a", "b"))
+    last = _verified(pairs, _texts_of(needed, texts), threshold, width).where("ok").select("a", "b")
+    by_blocks = _block_links(open_.where(F.col("n") > small), texts, threshold, width)
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last).unionByName(by_blocks)
 
 
 def near_duplicates(

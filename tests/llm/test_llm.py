@@ -153,7 +153,8 @@ def test_dedup_empty(docs):
     assert dedup.near_duplicates(docs([None, None, ""])).where("kept").count() == 3
 
 
-def test_dedup_equals_all_pairs_of_all_buckets(spark, docs):
+@pytest.mark.parametrize("small, block", [(dedup.SMALL, dedup.BLOCK_NODES), (4, 16), (10**6, 16)])
+def test_dedup_equals_all_pairs_of_all_buckets(spark, docs, monkeypatch, small, block):
     """Texts about the threshold from one, in buckets of many sizes: the classes are those of comparing every pair that shares a bucket."""
     rng = random.Random(12)
     base = [f"w{rng.randrange(1000)}" for _ in range(150)]
@@ -163,6 +164,8 @@ def test_dedup_equals_all_pairs_of_all_buckets(spark, docs):
         for at in rng.sample(range(len(own)), rng.choice((1, 2, 3, 4, 5, 6))):
             own[at] = f"e{rng.randrange(10**6)}"
         texts.append(" ".join(own))
+    monkeypatch.setattr(dedup, "BLOCK_NODES", block)
+    monkeypatch.setattr(dedup.links, "__defaults__", (small,))
     got = dedup.near_duplicates(docs(texts)).collect()
     s = dedup.Sketcher()
     own = [s.shingles(t.split()) for t in texts]
