@@ -184,7 +184,7 @@ def nearest(
                 a, b, c = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    met = items.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asked")
+    met = items.unionByName(asked).repartition(4 * shards, "shard").sortWithinPartitions("shard", "asked")
     hits = met.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
