@@ -1,4 +1,4 @@
-"""Features of chemical formulas. Element properties are a parameter: a map column or a table, not part of the library.
+"""Features of chemical formulas. Element properties are a parameter, a map column of a table; elements.py has those that are used by default.
 
 Null or empty formulas have no elements; statistics over no values are 0.
 """
@@ -150,3 +150,17 @@ def vector_mean(formula: Column, table: Column, size: int) -> Column:
             total(F.transform(parts, lambda x: F.coalesce(F.get(F.element_at(table, x["element"]), i), F.lit(0.0)) * x["count"] / atoms)),
         ).otherwise(0.0),
     )
+
+
+def element_counts(formula: Column, elements: Sequence[str]) -> dict[str, Column]:
+    """The count of each of the elements."""
+    own = F.map_from_entries(composition(formula))
+    return {f"count_{e}": F.coalesce(F.element_at(own, F.lit(e)), F.lit(0)).cast("double") for e in elements}
+
+
+def weighted_means(formula: Column, table: Column, names: Sequence[str]) -> dict[str, Column]:
+    """The mean of each property over all atoms; elements without it count only in the total."""
+    parts = composition(formula)
+    atoms = total(F.transform(parts, lambda x: x["count"].cast("double")))
+    pick = lambda x, i: F.coalesce(F.get(F.element_at(table, x["element"]), F.lit(i)), F.lit(0.0))
+    return {f"wtd_mean_{n}": F.when(atoms > 0, total(F.transform(parts, lambda x, i=i: pick(x, i) * x["count"])) / atoms).otherwise(0.0) for i, n in enumerate(names)}

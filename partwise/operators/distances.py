@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partwise.functions.vectors import zeros
+from partwise.functions.vectors import is_binary, zeros
 
 BLOCK_ROWS = 2048
 
@@ -25,6 +25,25 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.where(any_ > 0, 1 - both / np.maximum(any_, 1), 1.0)
 
 
+def exact_nearest(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Each row of a's distance to its nearest row of b. Products find who may be nearest; euclidean distances of these come from differences,
+    and equal rows have distance 0 by either metric, so that leaked copies are counted."""
+    d = distances(a, b, metric)
+    low = d.min(1)
+    if metric == "tanimoto":
+        return low
+    scale = np.sqrt((a**2).sum(1) + (b**2).sum(1).max()) if metric == "euclidean" else np.ones(len(a))
+    out = low.copy()
+    rows, others = np.nonzero(d <= (low + 1e-6 * scale)[:, None])
+    gaps = np.sqrt(((a[rows] - b[others]) ** 2).sum(1))
+    if metric == "euclidean":
+        out[:] = np.inf
+        np.minimum.at(out, rows, gaps)
+    else:
+        out[rows[gaps == 0]] = 0.0
+    return out
+
+
 def blocks(vectors: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     """(block, ids, x) and the number of blocks."""
     n = max(1, -(-vectors.count() // rows))
@@ -52,7 +71,7 @@ def nearest_distance(tests: DataFrame, trains: DataFrame, key: str, vector: str,
         for batch in batches:
             for i in range(batch.num_rows):
                 (ids, a), (_, b) = (_matrix(batch.column(c).slice(i, 1).flatten()) for c in ("rows", "other"))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(distances(a, b, metric).min(1))], names=[key, "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(exact_nearest(a, b, metric))], names=[key, "distance"])
 
     return block_pairs(left, n, right).mapInArrow(run, f"{key} {kind}, distance double").groupBy(key).agg(F.min("distance").alias("distance"))
 
@@ -84,11 +103,11 @@ def sparsity(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.agg((F.sum(zeros(F.col(vector))) / F.sum(F.size(vector))).alias("sparsity"))
 
 
-def choose_metric(sparse: float, binary: bool, c2: bool = False) -> tuple[str, bool]:
-    """(metric, whether to reduce by PCA first)."""
+def choose_metric(sparse: float, binary: bool, pca: bool = False) -> tuple[str, bool]:
+    """(metric, whether to reduce by PCA first). pca: reduction is wanted for very sparse vectors: on one axis, and on two with C2."""
     if binary:
         return "tanimoto", False
-    if sparse > 0.9 and c2:
+    if sparse > 0.9 and pca:
         return "euclidean", True
     return ("cosine" if sparse > 0.5 else "euclidean"), False
 
@@ -101,6 +120,28 @@ def standardised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.join(F.broadcast(scale)).select(key, F.zip_with(vector, "_t", lambda x, t: (x - t["m"]) / t["s"]).alias(vector))
 
 
+def binary(vectors: DataFrame, vector: str) -> bool:
+    """Whether all vectors are fingerprints: 128 components or more, all 0 or 1."""
+    return bool(vectors.agg(F.bool_and(is_binary(F.col(vector))).alias("b")).first().b)
+
+
+def normalised(distances_: DataFrame, columns: list[str]) -> DataFrame:
+    """Distance columns over the largest distance of all (unchanged if that is 0)."""
+    most = distances_.agg(F.max(F.greatest(*columns, F.lit(0.0))).alias("_most"))
+    return distances_.join(F.broadcast(most)).select(*[(F.when(F.col("_most") > 0, F.col(c) / F.col("_most")).otherwise(F.col(c))).alias(c) if c in columns else F.col(c) for c in distances_.columns])
+
+
+def components_for(n: int, dims: int, k: int = 20) -> int:
+    """How many principal components vectors are reduced to; as many as dims if they have few."""
+    return min(k, n - 1, dims) if dims > k else dims
+
+
+def coordinates(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, x, y: the first two principal components of standardised vectors, to be drawn."""
+    own = reduced(standardised(vectors, key, vector), key, vector, 2)
+    return own.select(key, F.col(vector)[0].alias("x"), F.get(vector, F.lit(1)).alias("y"))
+
+
 def reduced(vectors: DataFrame, key: str, vector: str, k: int = 20) -> DataFrame:
     """Principal components of centred vectors."""
     from pyspark.ml.feature import PCA, StandardScaler

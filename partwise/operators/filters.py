@@ -7,18 +7,27 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
 
 @dataclass(frozen=True)
 class Filter:
     column: str
-    not_equal: str | None = None
+    not_equal: str | float | bool | None = None
     not_empty: bool = False
 
 
-def condition(f: Filter) -> Column:
+def _comparable(value: object, kind: DataType) -> bool:
+    """Whether a cell of this type can equal the value: a text never equals a number."""
+    if isinstance(value, str):
+        return isinstance(kind, StringType)
+    return isinstance(kind, BooleanType if isinstance(value, bool) else NumericType)
+
+
+def condition(f: Filter, kind: DataType) -> Column:
+    """kind: the column's type."""
     c, out = F.col(f.column), F.lit(True)
-    if f.not_equal is not None:
+    if f.not_equal is not None and _comparable(f.not_equal, kind):
         out = out & (c.isNull() | (c != F.lit(f.not_equal)))
     if f.not_empty:
         out = out & (c.isNull() | (F.trim(c.cast("string")) != ""))
@@ -27,7 +36,7 @@ def condition(f: Filter) -> Column:
 
 def filtered(df: DataFrame, filters: Iterable[Filter]) -> DataFrame:
     for f in filters:
-        df = df.where(condition(f))
+        df = df.where(condition(f, df.schema[f.column].dataType))
     return df
 
 

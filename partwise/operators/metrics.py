@@ -42,8 +42,8 @@ def majority_split(pairs: DataFrame, key: str, names: Sequence[str]) -> DataFram
 
 
 def nn_leakage(vectors: DataFrame, assignment: DataFrame, key: str, vector: str, names: Sequence[str], metric: str = "euclidean") -> DataFrame:
-    """Distances of test rows to their nearest train row: mean, median, min, max, zeros, zero_fraction."""
-    own = vectors.join(assignment, key)
+    """Distances of test rows to their nearest train row: mean, median, min, max, zeros (exact copies), zero_fraction."""
+    own = vectors.select(key, vector).join(assignment.select(key, "split"), key)
     test = "test" if "test" in names else names[-1]
     near = nearest_distance(own.where(F.col("split") == test), own.where("split = 'train'"), key, vector, metric)
     d = F.col("distance")
@@ -58,6 +58,16 @@ def leakage_metric(dims: int, has_zero_vector: bool) -> str:
     return "cosine" if dims > 100 and not has_zero_vector else "euclidean"
 
 
+def row_counts(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """split, rows, percent (of all rows, 1 place) for each name and for rows that aren't selected."""
+    own = rows.groupBy("split").agg(F.count("*").alias("rows"))
+    listed = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in [*names, NOT_SELECTED]])).alias("split"))
+    n = F.coalesce("rows", F.lit(0))
+    return listed.join(own, "split", "left").select("split", n.alias("rows")).withColumn(
+        "percent", F.coalesce(F.round(100 * F.col("rows") / F.nullif(F.sum("rows").over(Window.partitionBy()), F.lit(0)), 1), F.lit(0.0))
+    )
+
+
 def distribution_shift(vectors: DataFrame, assignment: DataFrame, key: str, vector: str, names: Sequence[str]) -> DataFrame:
     """Mean and largest difference of the first and last split's means, in deviations of all rows; 4 places."""
     own = vectors.join(assignment, key, "left").select("split", F.posexplode(vector).alias("i", "v"))
@@ -67,6 +77,18 @@ def distribution_shift(vectors: DataFrame, assignment: DataFrame, key: str, vect
     return each.agg(F.round(F.avg(shift), 4).alias("mean_normalized_shift"), F.round(F.max(shift), 4).alias("max_normalized_shift"), F.count("*").alias("num_features"))
 
 
+def comparison_long(metrics: DataFrame) -> DataFrame:
+    """metric, technique, value, higher_is_better, best, from compared(): the metrics that aren't 0 for every technique, as a chart shows them."""
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    kinds = [("Coverage %", zero("coverage") * 100, True), ("Entity Overlap", zero("entity_overlap"), False), ("NN Separation (mean dist)", zero("nn_separation"), True), ("Distribution Shift", zero("dist_shift"), False)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), c.alias("value"), F.lit(up).alias("higher_is_better")) for k, c, up in kinds]))
+    of = Window.partitionBy("metric")  # one row for each technique
+    order = of.orderBy(F.when(F.col("higher_is_better"), -F.col("value")).otherwise(F.col("value")), "technique")
+    own = metrics.select("technique", each.alias("x")).select("x.metric", "technique", "x.value", "x.higher_is_better")
+    shown = own.withColumn("most", F.max(F.abs("value")).over(of)).where("most > 0").drop("most")
+    return shown.withColumn("best", F.row_number().over(order) == 1)
+
+
 def compared(metrics: DataFrame) -> DataFrame:
     """technique, coverage, nn_separation, dist_shift, entity_overlap, score, recommended from (technique, coverage, mean_nn_dist,
     e1_overlap, mean_normalized_shift). The highest score is recommended, the first by name on a tie."""

@@ -63,46 +63,73 @@ def both_axes(pairs: DataFrame, e1: str, e2: str, split1: DataFrame, split2: Dat
     return own.select(e1, e2, F.when(F.col("_s1") == F.col("_s2"), F.col("_s1")).otherwise(NOT_SELECTED).alias("split"))
 
 
-def greedy_groups(groups: DataFrame, key: str, names: Sequence[str], ratios: Sequence[int], most: int = 10_000) -> DataFrame:
-    """key, n, split: groups (key, n) by falling size, each to the split furthest below its target; ties to the first name.
+def _dealt(open_: Column, size: Column, count: Column) -> Column:
+    """How many of `count` groups of one size each split gets, if each goes to the split that is furthest below its target (the first on a tie).
 
-    The `most` largest groups are placed so, in one fold; smaller ones beyond are dealt by hash in proportion to what is then left
-    of the targets, so the fold's size is bounded.
+    A split's places are open, open - size, open - 2 size, ...; the highest `count` of all are taken. The lowest level that is taken whole is
+    searched by halving; what is left over goes to the next places in order.
     """
-    total = float(sum(ratios))
-    at = F.array(*[F.lit(r / total) for r in ratios])
-    whole = groups.agg(F.sum("n").alias("_total"))
-    head = groups.orderBy(F.desc("n"), key).limit(most)
-    listed = head.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(key).alias("k")))).alias("g")).join(F.broadcast(whole))
-    start = F.struct(
-        F.transform(at, lambda x: x * F.col("_total")).alias("open"), F.array().cast("array<int>").alias("picks")
-    )
-
-    def step(state: Column, g: Column) -> Column:
-        i = F.array_position(state["open"], F.array_max(state["open"])).cast("int")
+    above = lambda level: F.transform(open_, lambda x: F.greatest(F.lit(0).cast("long"), F.floor((x - level) / size).cast("long") + 1))
+    whole = lambda counts: F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+    start = F.struct((F.array_min(open_) - size * (count + 1)).alias("low"), (F.array_max(open_) + 1).alias("high"))  # low takes enough, high none
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = s["low"] + F.floor((s["high"] - s["low"]) / 2).cast("long")
+        enough = whole(above(middle)) >= count
+        return F.struct(F.when(enough & (s["high"] - s["low"] > 1), middle).otherwise(s["low"]).alias("low"), F.when(enough, s["high"]).otherwise(middle).alias("high"))
+
+    level = F.aggregate(F.sequence(F.lit(1), F.lit(62)), start, halve)["low"] + 1  # places at this level or above are taken, and fewer than count
+    taken = above(level)
+    left = count - whole(taken)
+    nearest = F.array_sort(F.transform(F.arrays_zip(open_.alias("o"), taken.alias("t")), lambda x, j: F.struct((x["t"] * size - x["o"]).alias("gap"), j.alias("j"))))
+    more = F.transform(F.slice(nearest, F.lit(1), F.greatest(left, F.lit(0).cast("long")).cast("int")), lambda x: x["j"])
+    return F.transform(taken, lambda t, j: t + F.array_contains(more, j).cast("int"))
+
+
+def greedy_groups(groups: DataFrame, key: str, names: Sequence[str], ratios: Sequence[int], piece: int = 64) -> DataFrame:
+    """key, n, split: groups (key, n) by falling size (in the order of a hash among equals), each to the split furthest below its target; ties to the first name.
+
+    Groups of one size are dealt at once, so one fold runs over the distinct sizes alone, of which N rows have at most sqrt(2 N); each group's
+    split then comes from its rank among those of its size. All numbers are whole: in units of one row over the sum of the ratios.
+    """
+    total = sum(ratios)
+    sizes = groups.groupBy("n").agg(F.count("*").alias("c"))
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "c"))).alias("g"), F.sum(F.col("n") * F.col("c")).alias("rows")).where(F.size("g") > 0)
+    targets = F.array(*[F.col("rows") * F.lit(r).cast("long") for r in ratios])
+
+    def one(state: Column, g: Column) -> Column:
+        size = -g["m"] * total
         return F.struct(
-            F.transform(state["open"], lambda x, j: F.when(j + 1 == i, x + g["m"]).otherwise(x)).alias("open"),
-            F.concat(state["picks"], F.array(i)).alias("picks"),
+            F.transform(F.arrays_zip(state["open"].alias("o"), _dealt(state["open"], size, g["c"]).alias("t")), lambda x: x["o"] - x["t"] * size).alias("open"),
+            F.concat(state["before"], F.array(state["open"])).alias("before"),
         )
 
-    placed = listed.select("g", F.aggregate("g", start, step).alias("a"))
-    label = F.array(*[F.lit(x) for x in names])
-    first = placed.select(F.explode(F.arrays_zip(F.col("g"), F.col("a.picks").alias("p"))).alias("x")).select(
-        F.col("x.g.k").alias(key), (-F.col("x.g.m")).alias("n"), F.element_at(label, F.col("x.p")).alias("split")
-    )
-    rest = groups.join(head.select(key), key, "left_anti")
-    left = placed.select(F.transform(F.col("a.open"), lambda x: F.greatest(x, F.lit(0.0))).alias("o"))
-    u = F.conv(F.substring(hash_order(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    run = F.transform(F.sequence(F.lit(1), F.size("o")), lambda i: F.aggregate(F.slice("o", F.lit(1), i), F.lit(0.0), lambda s, x: s + x))
-    share = F.transform(run, lambda x: x / F.greatest(F.element_at(run, -1), F.lit(1e-9)))
-    index = F.least(F.size(F.filter(share, lambda x: x <= u)) + 1, F.lit(len(names)))
-    dealt = rest.join(F.broadcast(left)).select(key, "n", F.element_at(label, index).alias("split"))
-    return first.unionByName(dealt)
-
-
-def cluster_count(n: int, sparsity: float = 0.0, second: bool = False, e2_clusters: int = 30) -> int:
-    """How many clusters an axis of n entities gets."""
+    def pieces(state: Column, at: Column) -> Column:
+        begun = F.struct(state["open"].alias("open"), F.array().cast("array<array<bigint>>").alias("before"))
+        done = F.aggregate(F.slice("g", at, F.lit(piece)), begun, one)
+        return F.transform(F.array(done), lambda d: F.struct(d["open"].alias("open"), F.concat(state["all"], F.array(d["before"])).alias("all")))[0]
+
+    start = F.struct(targets.alias("open"), F.array().cast("array<array<array<bigint>>>").alias("all"))
+    fold = F.aggregate(F.sequence(F.lit(1), F.size("g"), F.lit(piece)), start, pieces, lambda s: F.flatten(s["all"]))
+    states = listed.select(F.explode(F.arrays_zip(F.col("g"), fold.alias("open"))).alias("x")).select((-F.col("x.g.m")).alias("n"), F.col("x.open").alias("_open"))
+    # ranks among the groups of one size: counts of hash prefixes, then row numbers within a prefix
+    own = groups.select(key, "n", hash_order(key).alias("_h")).withColumn("_p", F.substring("_h", 1, 4))
+    parts = own.groupBy("n", "_p").agg(F.count("*").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy("n").orderBy("_p")) - F.col("_s")  # 65,536 rows of a size at most
+    ranks = own.withColumn("_r", F.row_number().over(Window.partitionBy("n", "_p").orderBy("_h", key)))
+    ranked_ = ranks.join(parts.select("n", "_p", before.alias("_before")), ["n", "_p"]).withColumn("_r", F.col("_before") + F.col("_r")).join(states, "n")
+    size = F.col("n") * total
+    change = F.arrays_zip(_dealt(F.col("_open"), size, F.col("_r")).alias("a"), _dealt(F.col("_open"), size, F.col("_r") - 1).alias("b"))
+    index = F.array_position(F.transform(change, lambda x: x["a"] > x["b"]), True).cast("int")
+    return ranked_.select(key, "n", F.element_at(F.array(*[F.lit(x) for x in names]), index).alias("split"))
+
+
+def cluster_count(n: int, sparsity: float = 0.0, second: bool = False, e2_clusters: int = 30, c2: bool = False) -> int:
+    """How many clusters an axis of n entities gets. sparsity: of the second axis's features. c2: C2 is among the techniques; on a sparse second
+    axis the first then has few clusters, so that blocks of both stay large."""
     if not second:
+        if c2 and sparsity > 0.5:
+            return max(1, min(max(2, min(3, n // 3)), n))
         return max(1, min(max(9, n // 20), n))
     if sparsity <= 0.5:
         return max(1, min(e2_clusters, n))

@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 
 from partwise.operators.filters import Filter
 
+# Techniques on one and on two axes, what one on two axes is on one, and feature sets by type.
 TECHNIQUES_1D = ["R", "I1e", "C1e", "scaffold"]
 TECHNIQUES_2D = ["R", "I1e", "I1f", "I2", "C1e", "C1f", "C2"]
+ON_ONE_AXIS = {"I1f": "I1e", "I2": "I1e", "C1f": "C1e", "C2": "C1e"}
 FEATURES = {
     "gene": ["nucleotide_composition", "kmer_frequencies", "nt_embedding", "precomputed_embedding"],
     "biomolecule": ["sequence_properties", "esm_embedding", "precomputed_embedding"],
@@ -23,6 +25,10 @@ class Entity:
     type: str
     column: str
     features: list[str] = field(default_factory=list)
+    smiles_map: dict[str, str] | None = None
+    embedding_file: str | None = None
+    structure_dir: str | None = None
+    options: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.type not in FEATURES:
@@ -59,12 +65,20 @@ class Config:
     filters: list[Filter] = field(default_factory=list)
     cache: str | None = None
 
+    def __post_init__(self) -> None:
+        for e in (self.e1, self.e2):  # a folder of structures is where its entities' structures are
+            if e and e.type == "material" and e.structure_dir is None and self.format in ("cif_dir", "xyz_dir"):
+                e.structure_dir = self.input
+
 
 def _entity(raw: dict, which: str) -> Entity:
     for key in ("name", "type", "extract"):
         if key not in raw:
             raise ValueError(f"{which} needs {key}")
-    return Entity(raw["name"], raw["type"], raw["extract"]["column"], raw.get("features") or [])
+    if "column" not in (raw["extract"] or {}):
+        raise ValueError(f"{which} needs extract.column")
+    options = {k: raw[k] for k in ("esm_model", "esm_batch_size", "nt_model", "nt_batch_size") if k in raw}
+    return Entity(raw["name"], raw["type"], raw["extract"]["column"], raw.get("features") or [], raw.get("smiles_map"), raw.get("embedding_file"), raw.get("structure_dir"), options)
 
 
 def parse(raw: dict) -> Config:
@@ -88,6 +102,8 @@ def load_config(path: str) -> Config:
 
     with open(path) as f:
         config = parse(yaml.safe_load(f))
-    if "://" not in config.input and not os.path.exists(config.input):
-        raise FileNotFoundError(config.input)
+    for e in (config.e1, config.e2):
+        for path in (config.input, e and e.embedding_file, e and e.structure_dir):
+            if path and "://" not in path and not os.path.exists(path):
+                raise FileNotFoundError(path)
     return config

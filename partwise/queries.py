@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from partwise.functions import materials, sequences, vectors
 from partwise.operators import distances, filters, inference, metrics, splits
 from partwise.operators.filters import Filter
+from partwise.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -367,7 +368,7 @@ def assign_rows_2d(spark, d):
     return splits.assigned(rows, _i2(spark, d), ["e1", "e2"]).select("l_orderkey", "l_linenumber", "split")
 
 
-_GREEDY = """WITH RECURSIVE g AS (SELECT {c} AS k, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS i FROM {t} GROUP BY 1), t AS (SELECT sum(n) AS total FROM g),
+_GREEDY = """WITH RECURSIVE g AS (SELECT {c} AS k, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5({c} || '|42'), {c}) AS i FROM {t} GROUP BY 1), t AS (SELECT sum(n) AS total FROM g),
 f AS (SELECT 0 AS i, NULL::VARCHAR AS k, 0::BIGINT AS n, NULL::VARCHAR AS split, 0.8::DOUBLE * total AS a, 0.2::DOUBLE * total AS b FROM t
  UNION ALL SELECT g.i, g.k, g.n, CASE WHEN f.a >= f.b THEN 'train' ELSE 'test' END, CASE WHEN f.a >= f.b THEN f.a - g.n ELSE f.a END, CASE WHEN f.a >= f.b THEN f.b ELSE f.b - g.n END FROM f JOIN g ON g.i = f.i + 1)
 SELECT k, n, split FROM f WHERE i > 0"""
@@ -457,11 +458,12 @@ def technique_comparison(spark, d):
 # ---- exports, joins, rate windows
 
 
-@query(f"SELECT split, list(doc_id ORDER BY doc_id) AS indices FROM documents JOIN {DOC_SPLIT} s ON CAST(doc_id AS VARCHAR) = s.id GROUP BY split")
+@query(f"SELECT split, doc_id AS position FROM documents JOIN {DOC_SPLIT} s ON CAST(doc_id AS VARCHAR) = s.id")
 def ml_indices(spark, d):
-    rows = _read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"))
+    """The documents in the order of doc_id have it as their position."""
+    rows = readers.numbered(_read(spark, d, "documents").select("doc_id")).withColumn("id", F.col("doc_id").cast("string"))
     own = splits.assigned(rows, splits.random_split(rows, "id", NAMES, RATIOS), ["id"])
-    return own.groupBy("split").agg(F.array_sort(F.collect_list("doc_id")).alias("indices"))
+    return writers.indices(rows.select("_row_id"), own, NAMES)
 
 
 @query(f"SELECT vec_id, label, split AS fold FROM embeddings JOIN {VEC_SPLIT} s ON CAST(vec_id AS VARCHAR) = s.id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import os
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,57 @@ def with_split(rows: DataFrame, assignment: DataFrame) -> DataFrame:
     return rows.join(assignment.select("_row_id", "split"), "_row_id", "left")
 
 
-def write_splits(rows: DataFrame, assignment: DataFrame, names: Sequence[str], fmt: str, path: str) -> None:
-    """Folder path/name for each split. Files stay as many as Spark makes them; no output is gathered into one task."""
+def _documents(rows: DataFrame, keyed: bool) -> DataFrame:
+    """One text for each row, so that every part is a JSON document by itself: an object by `_row_id`, or a list."""
+    shown = [c for c in rows.columns if not c.startswith("_")]
+    scalar = keyed and shown == ["value"]
+    cell = F.to_json(F.struct("value")) if scalar else F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})
+    own = rows.select(F.to_json(F.struct("_row_id")).alias("k"), cell.alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def items() -> Iterator[str]:
+            for b in batches:
+                for k, v in zip(b["k"], b["v"], strict=True):
+                    if scalar:
+                        v = json.dumps(json.loads(v).get("value"))
+                    yield f"{json.dumps(json.loads(k)['_row_id'])}: {v}" if keyed else v
+
+        held = None
+        for item in items():
+            yield pd.DataFrame({"value": [("{" if keyed else "[") if held is None else held + ","]})
+            held = item
+        if held is not None:
+            yield pd.DataFrame({"value": [held, "}" if keyed else "]"]})
+
+    return own.mapInPandas(run, "value string")
+
+
+def copy_files(files: DataFrame, to: str) -> int:
+    """Copy files (_source_file) into a folder, each by the task that has its name; how many. Folders may be of any file system that Arrow knows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(_uri(to))
+        system.create_dir(folder, recursive=True)
+        for b in batches:
+            for path in b["_source_file"]:
+                source, name = fs.FileSystem.from_uri(_uri(path))
+                fs.copy_files(name, f"{folder}/{name.rsplit('/', 1)[-1]}", source_filesystem=source, destination_filesystem=system)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return files.select("_source_file").distinct().mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _uri(path: str) -> str:
+    if "://" in path:
+        return path
+    return "file://" + os.path.abspath(path.removeprefix("file:"))
+
+
+def write_splits(rows: DataFrame, assignment: DataFrame, names: Sequence[str], fmt: str, path: str, keyed: bool = False) -> None:
+    """Folder path/name for each split, in the input's format; keyed: a JSON input was an object by `_row_id`, not a list. Files stay as many as
+    Spark makes them, each complete by itself; formats of one file for each structure or molecule get copies of their files."""
     joined = with_split(rows, assignment)
     for name in names:
         own = joined.where(F.col("split") == name).drop("split")
@@ -24,25 +76,24 @@ def write_splits(rows: DataFrame, assignment: DataFrame, names: Sequence[str], f
         if fmt in ("csv", "tsv", "ase_db"):
             out.csv(to, header=True, sep="\t" if fmt == "tsv" else ",", escape='"')
         elif fmt == "json":
-            out.json(to)
+            _documents(own, keyed).write.mode("overwrite").text(to)
         elif fmt == "parquet":
             out.parquet(to)
         elif fmt == "smiles":
             own.select(F.concat_ws(" ", "smiles", "_row_id")).write.mode("overwrite").text(to)
         elif fmt == "fasta":
             wrapped = F.regexp_replace("sequence", "(.{80})(?=.)", "$1\n")
-            own.select(F.concat(F.lit(">"), "_row_id", F.lit("\n"), wrapped)).write.mode("overwrite").text(to)
-        elif fmt in ("sdf", "sdf_dir", "mol", "mol2"):
-            own.select(F.concat(F.rtrim("block"), F.lit("\n$$$$"))).write.mode("overwrite").text(to)
-        else:  # formats of one file for each structure: which files belong to the split
-            key = "structure_id" if "structure_id" in own.columns else "_row_id"
-            own.select(key).distinct().write.mode("overwrite").text(to)
+            own.select(F.concat(F.lit(">"), "_header" if "_header" in own.columns else "_row_id", F.lit("\n"), wrapped)).write.mode("overwrite").text(to)
+        elif fmt == "sdf":
+            own.select(F.concat(F.rtrim("_block"), F.lit("\n\n$$$$"))).write.mode("overwrite").text(to)
+        else:
+            copy_files(own, to)
 
 
 def indices(rows: DataFrame, assignment: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Each split and the sorted positions of its rows, counted from 0 in the rows as they are, after filters."""
-    at = numbered(rows.select(F.col("_row_id").alias("_own"))).select(F.col("_row_id").cast("long").alias("at"), F.col("_own").alias("_row_id"))
-    return with_split(at, assignment).where(F.col("split").isin(*names)).groupBy("split").agg(F.array_sort(F.collect_list("at")).alias("indices"))
+    """(split, position) of each row in a split, counted from 0 in the rows as they are, after filters; in the order of both."""
+    at = numbered(rows.select(F.col("_row_id").alias("_own"))).select(F.col("_row_id").cast("long").alias("position"), F.col("_own").alias("_row_id"))
+    return with_split(at, assignment).where(F.col("split").isin(*names)).select("split", "position").orderBy("split", "position")
 
 
 def fold_column(rows: DataFrame, assignment: DataFrame) -> DataFrame:

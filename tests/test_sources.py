@@ -71,15 +71,15 @@ def test_pipeline(spark, tmp_path):
     })
     result = run(spark, config, write=True)
     assert result.metrics["R"]["split_counts"] == {"train": 48, "test": 12}
-    assert result.metrics["R"]["overlap"] == 0 and result.metrics["C1e"]["coverage"] == 1.0
+    assert result.metrics["R"]["e1_overlap"] == 0 and result.metrics["C1e"]["coverage"] == 1.0
     assert result.comparison.where("recommended").count() == 1
     written = readers.read_fasta(spark, str(tmp_path / "out/split_result/R_g/train"))
     assert written.count() == 48
-    told = {r.split: r.indices for r in writers.indices(result.rows, result.assignments["R"], ["train", "test"]).collect()}
-    assert sorted(told["train"] + told["test"]) == list(range(60)) and len(told["train"]) == 48
+    told = writers.indices(result.rows, result.assignments["R"], ["train", "test"]).collect()
+    assert sorted(r.position for r in told) == list(range(60)) and sum(r.split == "train" for r in told) == 48
     out = str(tmp_path / "out")
     assert spark.read.csv(f"{out}/split_result/split_R_g", header=True).count() == 60
-    assert spark.read.json(f"{out}/ml_exports/R_g_indices").count() == 2
+    assert spark.read.json(f"{out}/ml_exports/R_g_indices").count() == 60
     assert spark.read.csv(f"{out}/ml_exports/C1e_g_folds", header=True).columns == ["sequence", "split"]
     assert json.loads(spark.read.text(f"{out}/metrics/R_g").first().value)["split_counts"] == {"train": 48, "test": 12}
     assert spark.read.json(f"{out}/metrics/comparison_g").count() == 3
@@ -87,13 +87,18 @@ def test_pipeline(spark, tmp_path):
     assert features.columns[:3] == ["entity_id", "length", "freq_A"] and features.count() == 60
 
 
-def test_random_split_without_features(spark, tmp_path):
+def test_molecules_end_to_end(spark, tmp_path):
     (tmp_path / "m.smi").write_text("".join(f"{'C' * (i + 1)} m{i}\n" for i in range(20)))
-    config = {"dataset": {"name": "m", "input": str(tmp_path / "m.smi")}, "e": {"name": "compound", "type": "molecule", "extract": {"column": "smiles"}}, "splitting": {"techniques": ["R"]}}
-    measured = run(spark, parse(config)).metrics["R"]
-    assert measured["split_counts"] == {"train": 16, "test": 4} and "mean_nn_dist" not in measured
-    with pytest.raises(ImportError):
-        run(spark, parse(config | {"splitting": {"techniques": ["C1e"]}}))
+    config = {"dataset": {"name": "m", "input": str(tmp_path / "m.smi"), "output": str(tmp_path / "out")}, "e": {"name": "compound", "type": "molecule", "extract": {"column": "smiles"}}, "splitting": {"techniques": ["R", "C1e", "scaffold"]}}
+    result = run(spark, parse(config), write=True)
+    measured = result.metrics
+    assert measured["R"]["split_counts"] == {"train": 16, "test": 4} and measured["R"]["row_counts"]["not selected"] == 0
+    assert measured["R"]["metric"] == "cosine" and "mean_nn_dist" in measured["C1e"]
+    assert measured["scaffold"]["split_counts"] == {"train": 20, "test": 0}  # no rings: one scaffold
+    features = spark.read.csv(str(tmp_path / "out/features/m/compound"), header=True)
+    assert features.columns[1] == "MolWt" and "count_C" in features.columns and features.columns[-1] == "morgan_2047"
+    assert spark.read.csv(str(tmp_path / "out/plots/C1e_compound_coordinates"), header=True).count() == 20
+    assert spark.read.csv(str(tmp_path / "out/plots/comparison_m"), header=True).where("best = 'true'").count() >= 2
 
 
 def test_cache(spark, tmp_path):
@@ -142,4 +147,4 @@ def test_element_tables(spark):
         assert [len(r.features) for r in got] == [20, 20] and got[0].features[0] == pytest.approx(2.4) and not any(got[1].features)
         assert pipeline.feature_names(entity.features, 20)[0] == "d_electron_mean"
     finally:
-        pipeline.elements.clear()
+        pipeline.elements["electronic"] = pipeline.TABLES["electronic"]
