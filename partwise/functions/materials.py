@@ -1,4 +1,4 @@
-"""Features of chemical formulas. Element properties are a parameter, a map column of a table; elements.py has those that are used by default.
+"""Features of chemical formulas; those of element properties are of looked_up parts. Element properties are a parameter, a map column of a table; elements.py has those that are used by default.
 
 Null or empty formulas have no elements; statistics over no values are 0.
 """
@@ -22,13 +22,19 @@ def composition(formula: Column) -> Column:
         F.regexp_extract_all(text, pattern, 1).alias("element"), F.regexp_extract_all(text, pattern, 2).alias("count")
     )
     pairs = F.transform(found, lambda x: F.struct(x["element"].alias("element"), F.when(x["count"] == "", 1).otherwise(x["count"].try_cast("int")).alias("count")))
-    return F.transform(
+    summed = lambda pairs: F.transform(
         F.array_sort(F.array_distinct(F.transform(pairs, lambda x: x["element"]))),
         lambda e: F.struct(
             e.alias("element"),
             F.aggregate(F.filter(pairs, lambda x: x["element"] == e), F.lit(0), lambda s, x: s + x["count"]).alias("count"),
         ),
     )
+    return F.transform(F.array(pairs), summed)[0]  # through an array of one, so that the pairs are made once
+
+
+def looked_up(formula: Column, table: Column) -> Column:
+    """composition with the properties of each element (p; null if the table lacks it). Selected first, it is computed once for all features."""
+    return F.transform(composition(formula), lambda x: F.struct(x["element"].alias("element"), x["count"].alias("count"), F.element_at(table, x["element"]).alias("p")))
 
 
 def literal_map(table: Mapping[str, Sequence[float]]) -> Column:
@@ -36,9 +42,9 @@ def literal_map(table: Mapping[str, Sequence[float]]) -> Column:
     return F.create_map(*[x for e, v in table.items() for x in (F.lit(e), F.array(*[F.lit(float(y)) for y in v]))])
 
 
-def values(parts: Column, table: Column, i: int, missing: float | None = None) -> Column:
-    """array of (v, n): the property of each element and its count. Elements without it are left out, or have `missing`."""
-    pick = lambda x: F.get(F.element_at(table, x["element"]), F.lit(i))
+def values(parts: Column, i: int, missing: float | None = None) -> Column:
+    """array of (v, n) of looked_up parts: the property of each element and its count. Elements without it are left out, or have `missing`."""
+    pick = lambda x: F.get(x["p"], F.lit(i))
     if missing is not None:
         there = F.filter(parts, lambda x: x["count"] > 0)
         return F.transform(there, lambda x: F.struct(F.coalesce(pick(x), F.lit(missing)).alias("v"), x["count"].cast("double").alias("n")))
@@ -55,10 +61,9 @@ def weighted(pairs: Column) -> dict[str, Column]:
     return {"mean": mean, "std": F.when(n > 0, F.sqrt(spread / n)).otherwise(0.0), "min": low, "max": high, "range": high - low}
 
 
-def magpie_properties(formula: Column, table: Column, names: Sequence[str]) -> dict[str, Column]:
+def magpie_properties(parts: Column, names: Sequence[str]) -> dict[str, Column]:
     """Five statistics of each property."""
-    parts = composition(formula)
-    return {f"{name}_{k}": c for i, name in enumerate(names) for k, c in weighted(values(parts, table, i)).items()}
+    return {f"{name}_{k}": c for i, name in enumerate(names) for k, c in weighted(values(parts, i)).items()}
 
 
 def stoichiometry(formula: Column) -> dict[str, Column]:
@@ -73,10 +78,9 @@ def stoichiometry(formula: Column) -> dict[str, Column]:
     }
 
 
-def electronic(formula: Column, table: Column) -> dict[str, Column]:
+def electronic(parts: Column) -> dict[str, Column]:
     """Statistics where unknown elements count as 0. Properties: d electrons, valence, oxidation state, work function."""
-    parts = composition(formula)
-    d, v, o, w = (weighted(values(parts, table, i, 0.0)) for i in range(4))
+    d, v, o, w = (weighted(values(parts, i, 0.0)) for i in range(4))
     return {
         **{f"d_electron_{k}": d[k] for k in ("mean", "std", "range")},
         **{f"valence_electron_{k}": v[k] for k in ("mean", "std")}, **{f"oxidation_state_{k}": o[k] for k in ("mean", "std")},
@@ -85,16 +89,15 @@ def electronic(formula: Column, table: Column) -> dict[str, Column]:
     }
 
 
-def bonding(formula: Column, table: Column) -> dict[str, Column]:
+def bonding(parts: Column) -> dict[str, Column]:
     """Properties: electronegativity, ionic radius, polarizability; unknown ones are 0. Differences are from the mean of the
     electronegativities above 0. The tolerance is that of a perovskite of the two largest radii with oxygen (140)."""
-    parts = composition(formula)
-    all_en = values(parts, table, 0, 0.0)
+    all_en = values(parts, 0, 0.0)
     known = F.filter(all_en, lambda x: x["v"] > 0)
     middle = weighted(known)["mean"]
     off = F.transform(all_en, lambda x: F.struct(F.abs(middle - x["v"]).alias("v"), x["n"].alias("n")))
     ionicity = F.transform(off, lambda x: F.struct((1 - F.exp(x["v"] * x["v"] * -0.25)).alias("v"), x["n"].alias("n")))
-    diff, radii = weighted(off), values(parts, table, 1, 0.0)
+    diff, radii = weighted(off), values(parts, 1, 0.0)
     r, n = weighted(radii), total(F.transform(known, lambda x: x["n"]))
     geometric = F.when(n > 0, F.exp(total(F.transform(known, lambda x: x["n"] * F.log(x["v"]))) / n)).otherwise(0.0)
     large = F.sort_array(F.transform(radii, lambda x: x["v"]), asc=False)
@@ -102,17 +105,16 @@ def bonding(formula: Column, table: Column) -> dict[str, Column]:
     return {
         "avg_electronegativity_diff": diff["mean"], "avg_ionic_radius": r["mean"],
         "radius_ratio": F.when(r["min"] > 0, r["max"] / r["min"]).otherwise(0.0),
-        "avg_bond_ionicity": weighted(ionicity)["mean"], "geometric_mean_en": geometric, "avg_polarizability": weighted(values(parts, table, 2, 0.0))["mean"],
+        "avg_bond_ionicity": weighted(ionicity)["mean"], "geometric_mean_en": geometric, "avg_polarizability": weighted(values(parts, 2, 0.0))["mean"],
         "tolerance_factor": F.when(second > 0, (first + 140.0) / ((second + 140.0) * F.sqrt(F.lit(2.0)))).otherwise(0.0),
         "en_diff_std": diff["std"], "ionic_radius_std": r["std"],
     }
 
 
-def thermodynamic(formula: Column, table: Column) -> dict[str, Column]:
+def thermodynamic(parts: Column) -> dict[str, Column]:
     """Properties: melting point, oxide enthalpy, atomic mass; unknown ones are 0. The mass entropy is over atoms."""
-    parts = composition(formula)
-    m, o = weighted(values(parts, table, 0, 0.0)), weighted(values(parts, table, 1, 0.0))
-    mass = values(parts, table, 2, 0.0)
+    m, o = weighted(values(parts, 0, 0.0)), weighted(values(parts, 1, 0.0))
+    mass = values(parts, 2, 0.0)
     whole = total(F.transform(mass, lambda x: x["v"] * x["n"]))
     entropy = total(F.transform(mass, lambda x: -x["n"] * (x["v"] / whole) * F.log(x["v"] / whole + 1e-12)))
     return {
@@ -123,19 +125,18 @@ def thermodynamic(formula: Column, table: Column) -> dict[str, Column]:
     }
 
 
-def classification(formula: Column, table: Column, transition: Sequence[str], noble: Sequence[str], rare: Sequence[str]) -> dict[str, Column]:
+def classification(parts: Column, transition: Sequence[str], noble: Sequence[str], rare: Sequence[str]) -> dict[str, Column]:
     """Membership flags and shares. Properties: d electrons, electronegativity, electron affinity; the spread is over the table's elements."""
-    parts = composition(formula)
     has = lambda group: F.exists(parts, lambda x: x["element"].isin(*group)).cast("double")
     atoms = total(F.transform(parts, lambda x: x["count"].cast("double")))
     of_transition = F.filter(parts, lambda x: x["element"].isin(*transition))
     share = F.when(atoms > 0, total(F.transform(of_transition, lambda x: x["count"].cast("double"))) / atoms).otherwise(0.0)
-    en = F.transform(values(parts, table, 1), lambda x: x["v"])
+    en = F.transform(values(parts, 1), lambda x: x["v"])
     return {
         "has_transition_metal": has(transition), "has_noble_metal": has(noble), "has_rare_earth": has(rare), "fraction_transition_metal": share,
-        "d_band_filling": weighted(values(of_transition, table, 0, 0.0))["mean"] / 10, "element_diversity": F.size(parts).cast("double"),
+        "d_band_filling": weighted(values(of_transition, 0, 0.0))["mean"] / 10, "element_diversity": F.size(parts).cast("double"),
         "electronegativity_spread": F.when(F.size(en) > 1, F.array_max(en) - F.array_min(en)).otherwise(0.0),
-        "weighted_electron_affinity": weighted(values(parts, table, 2, 0.0))["mean"],
+        "weighted_electron_affinity": weighted(values(parts, 2, 0.0))["mean"],
     }
 
 

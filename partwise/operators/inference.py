@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partwise.functions import molecules
+
+# The pattern of formulas, and the types in the order that breaks ties.
 FORMULA = "^[A-Z][a-z]?(\\d+(\\.\\d+)?)?([A-Z][a-z]?(\\d+(\\.\\d+)?)?)*$"
 TYPES = ["molecule", "material", "biomolecule", "gene"]
 
@@ -26,8 +29,9 @@ def is_nucleotide(s: Column) -> Column:
     return _made_of(s, "ATCGUN", 0.85)
 
 
-def classify(value: Column) -> Column:
-    """The type of one value, or null: numbers and texts under two characters have none. Genes come before proteins."""
+def classify(value: Column, is_molecule: Column | None = None) -> Column:
+    """The type of one value, or null: numbers and texts under two characters have none. Genes come before proteins, formulas before molecules.
+    is_molecule: whether the trimmed text is SMILES, a column of its own so that only samples are parsed."""
     s = F.trim(value.cast("string"))
     number = F.expr("true") & F.regexp_replace(s, "(?<=\\d)_(?=\\d)", "").try_cast("double").isNotNull()
     return (
@@ -35,6 +39,7 @@ def classify(value: Column) -> Column:
         .when(is_nucleotide(s), "gene")
         .when(is_protein(s), "biomolecule")
         .when(is_formula(s), "material")
+        .when(is_molecule if is_molecule is not None else F.lit(False), "molecule")
     )
 
 
@@ -46,7 +51,8 @@ def column_types(df: DataFrame, columns: list[str], sample: int = 50, seed: str
     lengths = rows.groupBy("col").agg(F.percentile(F.length("v"), 0.5).alias("median_length"))
     order = Window.partitionBy("col").orderBy(F.md5(F.concat(F.col("v"), F.lit(f"|{seed}"))), "v")
     picked = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
-    kind = classify(F.col("v"))
+    picked = picked.select("col", "v", molecules.is_smiles(F.col("v")).alias("_smiles"))
+    kind = classify(F.col("v"), F.col("_smiles"))
     votes = picked.select("col", kind.alias("kind")).groupBy("col").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == t).alias(t) for t in TYPES])
     best = F.greatest(*TYPES)
     name = F.coalesce(*[F.when(F.col(t) == best, t) for t in TYPES])

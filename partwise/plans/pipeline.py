@@ -63,10 +63,10 @@ def _set(name: str, c):
         return F.concat(sequences.kmer_frequencies(c, 2), sequences.kmer_frequencies(c, 3))
     if name in NAMED:
         return F.array(*NAMED[name](c).values())
+    if name == "mat2vec_embedding" and name in elements:
+        return materials.vector_mean(c, materials.literal_map(elements[name][0]), *elements[name][1])
     if name in elements:
-        table, more = elements[name]
-        own = OF_ELEMENTS[name](c, materials.literal_map(table), *more)
-        return F.array(*own.values()) if isinstance(own, dict) else own
+        return F.array(*OF_ELEMENTS[name](F.col(f"_{name}"), *elements[name][1]).values())
     raise ImportError(f"feature set {name} isn't built in: register_elements or register_feature_set gives it")
 
 
@@ -83,7 +83,7 @@ def feature_names(sets: Sequence[str], size: int) -> list[str]:
             out += NAMED[name](F.lit(""))
         else:
             table, more = elements[name]
-            out += OF_ELEMENTS[name](F.lit(""), materials.literal_map(table), *more)
+            out += OF_ELEMENTS[name](F.col("parts"), *more)
     return out
 
 
@@ -115,6 +115,9 @@ def _computed(entities: DataFrame, config: Entity, sets: Sequence[str]) -> DataF
         vectors = read_embeddings(own.sparkSession, config.embedding_file, entities)
         size = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
         own = aligned_embeddings(own, vectors, "entity", "embedding", size)
+    for s in sets:
+        if s in elements and s not in registered and s != "mat2vec_embedding":
+            own = own.withColumn(f"_{s}", materials.looked_up(key, materials.literal_map(elements[s][0])))
     at = 0
     for s in sets:
         if s in graphs:

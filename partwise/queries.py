@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.functions import materials, sequences, vectors
+from partwise.functions import elements, materials, molecules, sequences, vectors
 from partwise.operators import distances, filters, inference, metrics, splits
 from partwise.operators.filters import Filter
 from partwise.sources import readers, writers
@@ -167,9 +167,8 @@ def sequence_properties(spark, d):
     return rows.select("doc_id", *[(c if k == "length" else F.round(c, places.get(k, 6))).alias(k) for k, c in cols.items()])
 
 
-# A few elements' atomic number and mass, enough for the formulas above.
-ELEMENTS = {"Fe": (26, 55.845), "O": (8, 15.999), "Ti": (22, 47.867)}
 _COUNTS = "CAST(p_size % 4 + 1 AS DOUBLE) AS fe, CAST(p_size % 3 + 1 AS DOUBLE) AS o, CAST(CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS ti"
+_ATOMS = f"(SELECT *, fe + o + ti AS n FROM (SELECT p_partkey, {_COUNTS} FROM part))"
 
 
 @query(f"SELECT p_partkey, CAST(p_size % 4 + 1 AS INTEGER) AS fe, CAST(p_size % 3 + 1 AS INTEGER) AS o, CASE WHEN p_size % 5 = 0 THEN 3 ELSE 2 END AS kinds FROM part")
@@ -178,74 +177,164 @@ def parse_formula(spark, d):
     return own.select("p_partkey", F.col("c")["Fe"].alias("fe"), F.col("c")["O"].alias("o"), F.size("c").alias("kinds"))
 
 
-@query(f"""SELECT p_partkey, round(mean, 6) AS mass_mean, round(sqrt((fe * power(55.845 - mean, 2) + o * power(15.999 - mean, 2) + ti * power(47.867 - mean, 2)) / n), 6) AS mass_std, 15.999::DOUBLE AS mass_min, 55.845::DOUBLE AS mass_max
-FROM (SELECT *, (fe * 55.845 + o * 15.999 + ti * 47.867) / n AS mean FROM (SELECT *, fe + o + ti AS n FROM (SELECT p_partkey, {_COUNTS} FROM part)))""")
-def magpie_properties(spark, d):
-    cols = materials.magpie_properties(F.col("formula"), materials.literal_map(ELEMENTS), ["number", "mass"])
-    return _formulas(spark, d).select("p_partkey", *[F.round(cols[f"mass_{k}"], 6).alias(f"mass_{k}") for k in ("mean", "std", "min", "max")])
-
-
 @query(f"""SELECT p_partkey, CAST(CASE WHEN ti > 0 THEN 3 ELSE 2 END AS DOUBLE) AS num_elements, n AS total_atoms,
- round(-(fe / n * ln(fe / n) + o / n * ln(o / n) + CASE WHEN ti > 0 THEN ti / n * ln(ti / n) ELSE 0 END), 6) AS composition_entropy, round(sqrt((fe * fe + o * o + ti * ti) / (n * n)), 6) AS L2_norm
-FROM (SELECT *, fe + o + ti AS n FROM (SELECT p_partkey, {_COUNTS} FROM part))""")
+ round(-(fe / n * ln(fe / n) + o / n * ln(o / n) + CASE WHEN ti > 0 THEN ti / n * ln(ti / n) ELSE 0 END), 6) AS composition_entropy,
+ {", ".join(f"round(power(power(fe / n, {p}) + power(o / n, {p}) + power(ti / n, {p}), 1.0 / {p}), 6) AS L{p}_norm" for p in (2, 3, 5, 7, 10))} FROM {_ATOMS}""")
 def stoichiometry(spark, d):
-    cols = materials.stoichiometry(F.col("formula"))
-    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in ("num_elements", "total_atoms", "composition_entropy", "L2_norm")])
+    return _formulas(spark, d).select("p_partkey", *[F.round(c, 6).alias(k) for k, c in materials.stoichiometry(F.col("formula")).items()])
 
 
-#: Made-up properties of two of these elements; the third is unknown, so that its defaults are seen.
-MADE_UP = {"Fe": (6, 8, 3, 4.5), "O": (0, 6, -2, 1.5)}
-_ATOMS = f"(SELECT *, fe + o + ti AS n FROM (SELECT p_partkey, {_COUNTS} FROM part))"
+#: Formulas of all elements that have properties: one, another and oxygen, the same one twice for some.
+_ALL = [*elements.ELEMENTS]
+_ANY_FORMULA = f"concat({_ALL}[p_partkey % {len(_ALL)} + 1], p_size % 4 + 1, {_ALL}[(p_size * 7) % {len(_ALL)} + 1], 'O', p_size % 3 + 1)"
 
 
-def _moments(fe: float, o: float, ti: float = 0.0) -> tuple[str, str]:
-    """SQL of the mean and the population deviation over atoms."""
-    mean = f"((fe * {fe} + o * {o} + ti * {ti}) / n)"
-    return mean, f"sqrt(greatest((fe * power({fe} - {mean}, 2) + o * power({o} - {mean}, 2) + ti * power({ti} - {mean}, 2)) / n, 0))"
+def _any_formulas(spark: SparkSession, d: str) -> DataFrame:
+    all_, size = F.array(*[F.lit(e) for e in _ALL]), F.col("p_size")
+    one = lambda at: F.element_at(all_, (at % len(_ALL) + 1).cast("int"))
+    text = F.concat(one(F.col("p_partkey")), (size % 4 + 1).cast("string"), one(size * 7), F.lit("O"), (size % 3 + 1).cast("string"))
+    return _read(spark, d, "part").select("p_partkey", text.alias("formula"))
 
 
-_D, _W = _moments(6, 0), _moments(4.5, 1.5)
+def _of_elements(name: str, columns: str, extra: str = "") -> str:
+    """SQL of columns over a formula's elements: v holds each element e with its count n, properties a0, a1, .. and their means m0, m1, .."""
+    table = elements.TABLES[name][0]
+    k = len(next(iter(table.values())))
+    rows = ", ".join(f"('{e}', {', '.join(f'{x}::DOUBLE' for x in v)})" for e, v in table.items())
+    a = [f"a{i}" for i in range(k)]
+    return f"""WITH x AS (SELECT p_partkey, unnest(regexp_extract_all(f, '([A-Z][a-z]?)(\\d*)', 1)) AS e, unnest(regexp_extract_all(f, '([A-Z][a-z]?)(\\d*)', 2)) AS c FROM (SELECT p_partkey, {_ANY_FORMULA} AS f FROM part)),
+p AS (SELECT p_partkey, e, CAST(sum(CASE WHEN c = '' THEN 1 ELSE CAST(c AS INTEGER) END) AS DOUBLE) AS n FROM x GROUP BY ALL),
+t AS (SELECT * FROM (VALUES {rows}) t(e, {", ".join(a)})),
+w AS (SELECT *, {", ".join(f"sum(n * {x}) OVER s / sum(n) OVER s AS m{i}" for i, x in enumerate(a))}, sum(n) OVER s AS atoms FROM p JOIN t USING (e) WINDOW s AS (PARTITION BY p_partkey)),
+v AS (SELECT *{extra} FROM w)
+SELECT p_partkey, {columns} FROM v GROUP BY p_partkey"""
 
 
-@query(f"""SELECT p_partkey, round({_D[0]}, 6) AS d_electron_mean, round({_D[1]}, 6) AS d_electron_std, round({_moments(3, -2)[0]}, 6) AS oxidation_state_mean,
- round({_W[0]}, 6) AS work_function_mean, round({_W[1]}, 6) AS work_function_std, CASE WHEN ti > 0 THEN 4.5 ELSE 3.0 END::DOUBLE AS work_function_range FROM {_ATOMS}""")
-def electronic(spark, d):
-    cols = materials.electronic(F.col("formula"), materials.literal_map(MADE_UP))
-    names = ("d_electron_mean", "d_electron_std", "oxidation_state_mean", "work_function_mean", "work_function_std", "work_function_range")
-    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in names])
+def _rounded_sql(pairs: dict[str, str]) -> str:
+    """Moved off the middle between two roundings, where the last bit would decide."""
+    return ", ".join(f"round({sql} + 1e-8, 6) AS {name}" for name, sql in pairs.items())
 
 
-_EN = "((fe * 1.8 + o * 3.4) / (fe + o))"
+def _moments(i: int) -> dict[str, str]:
+    return {"mean": f"any_value(m{i})", "std": f"sqrt(sum(n * power(a{i} - m{i}, 2)) / sum(n))", "min": f"min(a{i})", "max": f"max(a{i})", "range": f"max(a{i}) - min(a{i})"}
 
 
-@query(f"""SELECT p_partkey, round((fe * ({_EN} - 1.8) + o * (3.4 - {_EN}) + ti * {_EN}) / n, 6) AS avg_electronegativity_diff, round((fe * 65 + o * 140) / n, 6) AS avg_ionic_radius,
- round(CASE WHEN ti > 0 THEN 0 ELSE 140.0 / 65 END, 6) AS radius_ratio, round((fe * (1 - exp(-0.25 * power({_EN} - 1.8, 2))) + o * (1 - exp(-0.25 * power(3.4 - {_EN}, 2))) + ti * (1 - exp(-0.25 * power({_EN}, 2)))) / n, 6) AS avg_bond_ionicity,
- round(exp((fe * ln(1.8) + o * ln(3.4)) / (fe + o)), 6) AS geometric_mean_en, round(280 / (sqrt(2) * 205), 6) AS tolerance_factor, round({_moments(65, 140)[1]}, 6) AS ionic_radius_std FROM {_ATOMS}""")
-def bonding(spark, d):
-    cols = materials.bonding(F.col("formula"), materials.literal_map({"Fe": (1.8, 65, 8), "O": (3.4, 140, 1)}))
-    names = ("avg_electronegativity_diff", "avg_ionic_radius", "radius_ratio", "avg_bond_ionicity", "geometric_mean_en", "tolerance_factor", "ionic_radius_std")
-    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in names])
+def _from_elements(spark: SparkSession, d: str, name: str, f: Callable) -> DataFrame:
+    table, more = elements.TABLES[name]
+    own = _any_formulas(spark, d).select("p_partkey", materials.looked_up(F.col("formula"), materials.literal_map(table)).alias("parts"))
+    cols = f(F.col("parts"), *more)
+    return own.select("p_partkey", *[F.round(c + 1e-8, 6).alias(k) for k, c in cols.items()])
+
+
+@query(_of_elements("magpie_properties", _rounded_sql({f"{p}_{k}": q for i, p in enumerate(elements.PROPERTIES) for k, q in _moments(i).items()})))
+def magpie_properties(spark, d):
+    return _from_elements(spark, d, "magpie_properties", materials.magpie_properties)
+
+
+@query(_of_elements("electronic", _rounded_sql({f"{p}_{k}": _moments(i)[k] for p, i, ks in (
+    ("d_electron", 0, ("mean", "std", "range", "max", "min")), ("valence_electron", 1, ("mean", "std")), ("oxidation_state", 2, ("mean", "std")), ("work_function", 3, ("mean", "std", "range"))) for k in ks})))
+def electronic(spark, d):
+    return _from_elements(spark, d, "electronic", materials.electronic)
 
 
-_MP = _moments(1800, 50)
+@query(_of_elements("bonding", _rounded_sql({
+    "avg_electronegativity_diff": "sum(n * off) / sum(n)", "avg_ionic_radius": "any_value(m1)", "radius_ratio": "CASE WHEN min(a1) > 0 THEN max(a1) / min(a1) ELSE 0 END",
+    "avg_bond_ionicity": "sum(n * (1 - exp(-0.25 * off * off))) / sum(n)", "geometric_mean_en": "coalesce(exp(sum(n * ln(a0)) FILTER (a0 > 0) / sum(n) FILTER (a0 > 0)), 0)",
+    "avg_polarizability": "any_value(m2)", "tolerance_factor": "CASE WHEN list_reverse_sort(list(a1))[2] > 0 THEN (list_reverse_sort(list(a1))[1] + 140) / ((list_reverse_sort(list(a1))[2] + 140) * sqrt(2)) ELSE 0 END",
+    "en_diff_std": "sqrt(sum(n * power(off - mean_off, 2)) / sum(n))", "ionic_radius_std": _moments(1)["std"],
+}).replace("mean_off", "any_off"), ", abs(middle - a0) AS off, sum(n * abs(middle - a0)) OVER s / atoms AS any_off FROM (SELECT *, coalesce(sum(n * a0) FILTER (a0 > 0) OVER s / sum(n) FILTER (a0 > 0) OVER s, 0) AS middle"
+).replace(" FROM w)\nSELECT", " FROM w WINDOW s AS (PARTITION BY p_partkey)) WINDOW s AS (PARTITION BY p_partkey))\nSELECT"))
+def bonding(spark, d):
+    return _from_elements(spark, d, "bonding", materials.bonding)
 
 
-@query(f"""SELECT p_partkey, round({_MP[0]}, 6) AS avg_melting_point, round({_MP[1]}, 6) AS melting_point_std, CASE WHEN ti > 0 THEN 1800.0 ELSE 1750.0 END::DOUBLE AS melting_point_range,
- round(-{_moments(-800, 0)[0]}, 6) AS reducibility_index, (-800.0)::DOUBLE AS min_oxide_formation_enthalpy,
- round(-(fe * 56 / m * ln(56 / m + 1e-12) + o * 16 / m * ln(16 / m + 1e-12)), 6) AS entropy_mixing_mass_weighted FROM (SELECT *, fe * 56 + o * 16 AS m FROM {_ATOMS})""")
+@query(_of_elements("thermodynamic", _rounded_sql({
+    "avg_melting_point": "any_value(m0)", "melting_point_std": _moments(0)["std"], "melting_point_range": _moments(0)["range"], "avg_oxide_formation_enthalpy": "any_value(m1)", "reducibility_index": "0 - any_value(m1)",
+    "entropy_mixing_mass_weighted": "sum(-n * (a2 / (m2 * atoms)) * ln(a2 / (m2 * atoms) + 1e-12))", "min_oxide_formation_enthalpy": "min(a1)", "max_oxide_formation_enthalpy": "max(a1)",
+})))
 def thermodynamic(spark, d):
-    cols = materials.thermodynamic(F.col("formula"), materials.literal_map({"Fe": (1800, -800, 56), "O": (50, 0, 16)}))
-    names = ("avg_melting_point", "melting_point_std", "melting_point_range", "reducibility_index", "min_oxide_formation_enthalpy", "entropy_mixing_mass_weighted")
-    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in names])
+    return _from_elements(spark, d, "thermodynamic", materials.thermodynamic)
+
+
+def _among(group: list[str]) -> str:
+    return "e IN (" + ", ".join(f"'{e}'" for e in group) + ")"
+
+
+_TM, _NOBLE, _RARE = (_among(g) for g in elements.TABLES["classification"][1])
 
 
-@query(f"""SELECT p_partkey, 1.0::DOUBLE AS has_transition_metal, 0.0::DOUBLE AS has_noble_metal, round((fe + ti) / n, 6) AS fraction_transition_metal, round(0.6 * fe / (fe + ti), 6) AS d_band_filling,
- CASE WHEN ti > 0 THEN 3.0 ELSE 2.0 END::DOUBLE AS element_diversity, 1.6::DOUBLE AS electronegativity_spread, round((fe * 16 + o * 141) / n, 6) AS weighted_electron_affinity FROM {_ATOMS}""")
+@query(_of_elements("classification", _rounded_sql({
+    "has_transition_metal": f"max(CASE WHEN {_TM} THEN 1.0::DOUBLE ELSE 0 END)", "has_noble_metal": f"max(CASE WHEN {_NOBLE} THEN 1.0::DOUBLE ELSE 0 END)", "has_rare_earth": f"max(CASE WHEN {_RARE} THEN 1.0::DOUBLE ELSE 0 END)",
+    "fraction_transition_metal": f"sum(CASE WHEN {_TM} THEN n ELSE 0 END) / sum(n)", "d_band_filling": f"coalesce(sum(n * a0) FILTER ({_TM}) / sum(n) FILTER ({_TM}), 0) / 10", "element_diversity": "CAST(count(*) AS DOUBLE)",
+    "electronegativity_spread": "CASE WHEN count(*) > 1 THEN max(a1) - min(a1) ELSE 0 END", "weighted_electron_affinity": "any_value(m2)",
+})))
 def classification(spark, d):
-    table = materials.literal_map({"Fe": (6, 1.8, 16), "O": (0, 3.4, 141)})
-    cols = materials.classification(F.col("formula"), table, ["Fe", "Ti"], ["Au"], ["La"])
-    names = ("has_transition_metal", "has_noble_metal", "fraction_transition_metal", "d_band_filling", "element_diversity", "electronegativity_spread", "weighted_electron_affinity")
-    return _formulas(spark, d).select("p_partkey", *[F.round(cols[k], 6).alias(k) for k in names])
+    return _from_elements(spark, d, "classification", materials.classification)
+
+
+#: Made-up element vectors; the second element of a formula has none where its number is odd.
+_VECTORS = {e: (v[0] / 10, v[1] / 7, 1.0) for e, v in elements.ELEMENTS.items() if v[0] % 2 == 0}
+
+
+@query(f"""WITH x AS (SELECT p_partkey, unnest(regexp_extract_all(f, '([A-Z][a-z]?)(\\d*)', 1)) AS e, unnest(regexp_extract_all(f, '([A-Z][a-z]?)(\\d*)', 2)) AS c FROM (SELECT p_partkey, {_ANY_FORMULA} AS f FROM part)),
+p AS (SELECT p_partkey, e, CAST(CASE WHEN c = '' THEN 1 ELSE CAST(c AS INTEGER) END AS DOUBLE) AS n FROM x),
+t AS (SELECT * FROM (VALUES {", ".join(f"('{e}', {v[0]}::DOUBLE, {v[1]}::DOUBLE, {v[2]}::DOUBLE)" for e, v in _VECTORS.items())}) t(e, a, b, c))
+SELECT p_partkey, {", ".join(f"round(coalesce(sum(n * {x}), 0) / sum(n), 6) AS emb_{i}" for i, x in enumerate("abc"))} FROM p LEFT JOIN t USING (e) GROUP BY p_partkey""")
+def mat2vec_embedding(spark, d):
+    own = materials.vector_mean(F.col("formula"), materials.literal_map(_VECTORS), 3)
+    return _any_formulas(spark, d).select("p_partkey", own.alias("v")).select("p_partkey", *[F.round(F.col("v")[i], 6).alias(f"emb_{i}") for i in range(3)])
+
+
+# ---- molecules: rings of 3 to 7 carbons with a chain that ends in a hydroxyl group or an amine
+
+_RING, _CHAIN, _END = "(p_size % 5 + 3)", "(p_partkey % (3 + p_size % 5))", "(p_partkey % 2)"
+_C, _H = f"({_RING} + {_CHAIN})", f"(2 * ({_RING} + {_CHAIN}) + {_END})"
+
+
+def _smiles(spark: SparkSession, d: str) -> DataFrame:
+    size, key = F.col("p_size"), F.col("p_partkey")
+    text = F.concat(F.lit("C1"), F.repeat(F.lit("C"), (size % 5 + 2).cast("int")), F.lit("1"), F.repeat(F.lit("C"), (key % (3 + size % 5)).cast("int")), F.when(key % 2 == 1, "N").otherwise("O"))
+    return _read(spark, d, "part").select("p_partkey", text.alias("smiles"))
+
+
+@query(f"""SELECT p_partkey, concat('C', {_C}, 'H', {_H}, CASE WHEN {_END} = 1 THEN 'N' ELSE 'O' END) AS formula, round({_C} * 12.011 + {_H} * 1.008 + CASE WHEN {_END} = 1 THEN 14.007 ELSE 15.999 END, 6) AS mol_weight,
+ CAST({_C} + 1 AS DOUBLE) AS num_heavy_atoms, CAST({_H} AS DOUBLE) AS num_H, 1.0::DOUBLE AS num_rings, 0.0::DOUBLE AS num_aromatic_rings, 1.0::DOUBLE AS fraction_sp3,
+ CAST({_CHAIN} AS DOUBLE) AS num_rotatable_bonds, CAST({_C} * 4 + {_H} + CASE WHEN {_END} = 1 THEN 5 ELSE 6 END AS DOUBLE) AS total_valence_electrons FROM part""".replace("{_H}", _H))
+def molecule_counts(spark, d):
+    """A ring has as many hydrogens less two as a chain; an amine one more than an alcohol."""
+    own = _smiles(spark, d).select("p_partkey", molecules.formula(F.col("smiles")).alias("formula"), molecules.features(F.col("smiles"), ["physicochemical"]).alias("v"))
+    names = molecules.names_of("physicochemical")
+    shown = ("mol_weight", "num_heavy_atoms", "num_H", "num_rings", "num_aromatic_rings", "fraction_sp3", "num_rotatable_bonds", "total_valence_electrons")
+    return own.select("p_partkey", "formula", *[F.round(F.col("v")[names.index(n)], 6).alias(n) for n in shown])
+
+
+@query(f"""SELECT p_partkey, CASE WHEN {_END} = 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS NumHBondDonors, 1.0::DOUBLE AS NumHBondAcceptors, CASE WHEN {_END} = 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS NumLonePairs,
+ CASE WHEN {_END} = 1 THEN 26.02::DOUBLE ELSE 20.23::DOUBLE END AS TPSA FROM part""")
+def molecule_descriptors(spark, d):
+    own = _smiles(spark, d).select("p_partkey", molecules.features(F.col("smiles"), ["rdkit_descriptors"]).alias("v"))
+    names = molecules.names_of("rdkit_descriptors")
+    return own.select("p_partkey", *[F.round(F.col("v")[names.index(n)], 6).alias(n) for n in ("NumHBondDonors", "NumHBondAcceptors", "NumLonePairs", "TPSA")])
+
+
+_SCAFFOLDS = f"(SELECT {_RING} AS k, count(DISTINCT ({_CHAIN}, {_END})) AS n FROM part GROUP BY 1)"
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT k, n, row_number() OVER (ORDER BY n DESC, k) AS i FROM {_SCAFFOLDS}), t AS (SELECT sum(n) AS total FROM g),
+f AS (SELECT 0 AS i, NULL::BIGINT AS k, NULL::VARCHAR AS split, 8 * total AS a, 2 * total AS b FROM t
+ UNION ALL SELECT g.i, g.k, CASE WHEN f.a >= f.b THEN 'train' ELSE 'test' END, CASE WHEN f.a >= f.b THEN f.a - 10 * g.n ELSE f.a END, CASE WHEN f.a >= f.b THEN f.b ELSE f.b - 10 * g.n END FROM f JOIN g ON g.i = f.i + 1)
+SELECT p_partkey, split FROM part JOIN f ON f.k = {_RING}""")
+def split_scaffold(spark, d):
+    """No ring size in two splits; shares are of distinct molecules."""
+    rows = _smiles(spark, d)
+    own = rows.select("smiles").distinct().withColumn("group", molecules.scaffold(F.col("smiles")))
+    placed = splits.greedy_groups(own.groupBy("group").agg(F.count("*").alias("n")), "group", NAMES, RATIOS)
+    return rows.join(own, "smiles").join(placed.select("group", "split"), "group").select("p_partkey", "split")
+
+
+@query(f"SELECT p_partkey, CASE WHEN {_GENE} THEN 'gene' ELSE 'molecule' END AS kind FROM (SELECT p_partkey, concat('O=C1', repeat('C', p_size % 5 + 2), '1', repeat('C', {_CHAIN}), CASE WHEN {_END} = 1 THEN 'N' ELSE 'O' END) AS s FROM part)")
+def classify_molecules(spark, d):
+    text = F.concat(F.lit("O="), "smiles")
+    return _smiles(spark, d).select("p_partkey", inference.classify(text, molecules.is_smiles(text)).alias("kind"))
 
 
 # ---- vectors and distances
@@ -443,6 +532,12 @@ def distribution_shift(spark, d):
     return metrics.distribution_shift(_vectors(spark, d), _vector_split(spark, d), "vec_id", "v", NAMES)
 
 
+@query(f"SELECT split, count(*) AS rows, round(100 * count(*) / (SELECT count(*) FROM lineitem), 1) AS percent FROM (SELECT coalesce(s.split, 'not selected') AS split FROM lineitem l LEFT JOIN {_I2} s ON CAST(l_partkey AS VARCHAR) = e1 AND CAST(l_suppkey AS VARCHAR) = e2) GROUP BY 1")
+def row_counts(spark, d):
+    rows = _read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("e1"), F.col("l_suppkey").cast("string").alias("e2"))
+    return metrics.row_counts(splits.assigned(rows, _i2(spark, d), ["e1", "e2"]), NAMES)
+
+
 _TECH = "SELECT p_type AS technique, avg(p_size) / 50 AS coverage, avg(p_retailprice) / 1000 AS nn, min(p_size) - 1.0 AS o, stddev_pop(p_size) / 10 AS shift FROM part GROUP BY 1"
 
 
@@ -455,6 +550,29 @@ def technique_comparison(spark, d):
     return metrics.compared(rows)
 
 
+_LONG = " UNION ALL ".join(f"SELECT '{k}' AS metric, technique, {c} AS value, {up} AS higher_is_better FROM c" for k, c, up in (("Coverage %", "round(coverage, 4) * 100", "true"), ("Entity Overlap", "CAST(o AS DOUBLE)", "false"), ("NN Separation (mean dist)", "round(nn, 6)", "true"), ("Distribution Shift", "round(shift, 4)", "false")))
+
+
+@query(f"""WITH c AS ({_TECH}), l AS ({_LONG})
+SELECT metric, technique, round(value, 6) AS value, higher_is_better, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN higher_is_better THEN -value ELSE value END, technique) = 1 AS best
+FROM l QUALIFY max(abs(value)) OVER (PARTITION BY metric) > 0""")
+def comparison_long(spark, d):
+    return metrics.comparison_long(technique_comparison(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IS DISTINCT FROM 3 AND (c_acctbal IS NULL OR c_acctbal <> 0)")
+def filter_numeric(spark, d):
+    """A number is compared with a number; a text never equals one, so that rule keeps all rows."""
+    rules = [Filter("c_nationkey", not_equal=3), Filter("c_acctbal", not_equal=0.0), Filter("c_custkey", not_equal="")]
+    return filters.filtered(_read(spark, d, "customer"), rules).select("c_custkey")
+
+
+@query(f"SELECT vec_id, n, nearest / most AS nearest, furthest / most AS furthest, mean / most AS mean FROM (SELECT *, max(furthest) OVER () AS most FROM ({_pairwise('list_distance(a.v, b.v)').replace('round(', '(').replace(', 6)', ')')}))".replace("nearest / most", "round(nearest / most, 6)").replace("furthest / most", "round(furthest / most, 6)").replace("mean / most", "round(mean / most, 6)"))
+def distances_normalised(spark, d):
+    own = distances.pairwise_summary(_vectors(spark, d), "vec_id", "v", "euclidean")
+    return _rounded(distances.normalised(own, ["nearest", "furthest", "mean"]))
+
+
 # ---- exports, joins, rate windows
 
 

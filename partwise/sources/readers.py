@@ -361,7 +361,7 @@ def detect(path: str) -> str:
         if k in kinds:
             return fmt
     known = [EXTENSIONS[k] for k in kinds if k in EXTENSIONS]
-    if len(known) == 1:
+    if len(known) == 1 or known and set(known) == {"parquet"}:
         return known[0]
     raise ValueError(f"no known format in {path}")
 
