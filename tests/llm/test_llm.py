@@ -677,6 +677,38 @@ def test_pipeline_equals_operators(spark):
     assert len(kept[2]) == len(brute_classes([texts[i] for i in ids]))
 
 
+def test_run_equals_brute_force(spark, both):
+    """run()'s rows from verdicts of the single queries, plain classes of all pairs, a simulated schedule and the library's tokens."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, DIR).select("doc_id", "n_tokens", "ids_sha256").collect()
+    good = {r.doc_id for r in queries.op5_quality(spark, DIR).where("predicted = 1").collect()}
+    toxic = {r.doc_id for r in queries.op7_toxicity(spark, DIR).where("predicted = 1").collect()}
+    rows = {r.doc_id: r for r in table(spark, DIR, "documents", *corpus_pipeline.COLUMNS).collect() if r.doc_id in good - toxic}
+    ids = sorted(rows)
+    classes = brute_classes([rows[i].text for i in ids])
+    kept = {r.doc_id for r in got}
+    assert all(len(kept & {ids[i] for i in c}) == 1 for c in classes) and len(kept) == len(classes)
+    sizes = {}
+    for i in kept:
+        sizes[rows[i].source] = sizes.get(rows[i].source, 0) + 1
+    names = sorted(sizes)
+    weights = [sizes[s] ** mixing.TEMPERATURE for s in names]
+    a = [max(1, round(w / sum(weights) * mixing.UNIT)) for w in weights]
+    blocks = [-(-sizes[s] // mixing.BLOCK_ROWS) for s in names]
+    given = edf(a, max(-(-b * sum(a) // x) for b, x in zip(blocks, a, strict=True)))
+    expected = dict.fromkeys(names, 0)
+    for i, k in given:
+        k %= blocks[i]
+        expected[names[i]] += min(mixing.BLOCK_ROWS, sizes[names[i]] - k * mixing.BLOCK_ROWS)
+    found = dict.fromkeys(names, 0)
+    for r in got:
+        found[rows[r.doc_id].source] += 1
+        tokens = both[1].encode_ordinary(rows[r.doc_id].text or "")
+        assert r.n_tokens == len(tokens) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest()
+    assert found == expected
+
+
 def test_stages_carry_clashing_columns(spark):
     import corpus_pipeline
 
