@@ -61,7 +61,7 @@ class Words(dict):
 
 
 class Sketcher:
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, memo: int = 400_000):
+    def __init__(self, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, memo: int = 100_000):
         self.bands, self.rows, self.k, self.width, self.memo = bands, rows, bands * rows, width, memo
         self.words = Words()
         self.throws = self.k * (math.log(self.k) + 2)
@@ -188,7 +188,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int)
 class Weighed:
     """Shingles and counts of texts by their uid, kept until there are too many of them."""
 
-    def __init__(self, width: int, most: int = 4_000_000):
+    def __init__(self, width: int, most: int = 1_000_000):
         self.sketcher, self.most, self.held, self.size = Sketcher(width=width), most, {}, 0
 
     def of(self, uid: int, text) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ def _shape(word: str) -> str:
 class Terms:
     """text -> sparse term counts (ids, values)."""
 
-    def __init__(self, memo: int = 300_000):
+    def __init__(self, memo: int = 100_000):
         self.memo, self.size = {}, memo
 
     def _ids(self, word: str) -> tuple[int, int]:

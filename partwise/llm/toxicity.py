@@ -147,7 +147,7 @@ CLAUSES = negation().then(reported_speech()).then(target()).then(threat())
 class Grammar:
     """stems: prefix, or whole word with END, -> weight of the insult class."""
 
-    def __init__(self, stems: dict[str, float], scale: tuple[float, ...] = UNTAUGHT, memo: int = 300_000):
+    def __init__(self, stems: dict[str, float], scale: tuple[float, ...] = UNTAUGHT, memo: int = 100_000):
         self.stems, self.scale, self.memo_size = stems, scale, memo
         self.lengths = sorted({len(s) for s in stems if not s.endswith(END)}, reverse=True)
         self.fixed: dict[str, list[tuple[int, float]]] = {}
