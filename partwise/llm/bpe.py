@@ -75,36 +75,48 @@ class PerfectHash:
         return out
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The ids of one pre-token: the pair of neighbours with the lowest rank is merged first, the leftmost on a tie."""
+def first_ranks(ranks: dict[bytes, int]) -> list[int]:
+    """The rank of each pair of bytes, by 256 * the first + the second; -1 for pairs that aren't merged."""
+    return [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+
+
+def merge_bytes(piece: bytes, ranks: dict[bytes, int], first: list[int] | None = None) -> tuple[int, ...]:
+    """The ids of one pre-token: the pair of neighbours with the lowest rank is merged first, the leftmost on a tie. first: first_ranks of ranks."""
     n = len(piece)
-    end = [*range(1, n + 1)]  # of the node that starts here; 0: no node starts here any more
+    m = n + 1
+    end = [*range(1, m)]  # of the node that starts here; 0: no node starts here any more
     start = [-1, *range(n)]  # of the node that ends here
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    first = first_ranks(ranks) if first is None else first
+    # a merge as one number: its rank, where it starts, where it ends
+    heap = [(r * m + i) * m + i + 2 for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False)) if (r := first[a << 8 | b]) >= 0]
     heapify(heap)
+    rank = ranks.get
     while heap:
-        _, i, e = heappop(heap)
+        x, e = divmod(heappop(heap), m)
+        i = x % m
         j = end[i]
         if not j or j >= n or end[j] != e:
             continue
         end[j], end[i], start[e] = 0, e, i
-        if i and (r := ranks.get(piece[(p := start[i]) : e])) is not None:
-            heappush(heap, (r, p, e))
-        if e < n and (r := ranks.get(piece[i : (q := end[e])])) is not None:
-            heappush(heap, (r, i, q))
+        if i and (r := rank(piece[(p := start[i]) : e])) is not None:
+            heappush(heap, (r * m + p) * m + e)
+        if e < n and (r := rank(piece[i : (q := end[e])])) is not None:
+            heappush(heap, (r * m + i) * m + q)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
+        j = end[i]
+        out.append(ranks[piece[i:j]])
+        i = j
     return tuple(out)
 
 
 class Encoder(dict):
-    """pre-token -> ids: a memo of what the two tiers give, emptied when it is full."""
+    """pre-token -> ids: a memo of what the two tiers give. When it is full it becomes the older one of two, from which what is still used comes back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 200_000):
         super().__init__()
-        self.ranks, self.memo = ranks, memo
+        self.ranks, self.memo, self.older = ranks, memo, {}
+        self.first = first_ranks(ranks)
         self.table = PerfectHash([*ranks])
         self.slot_ids = [ranks[k] for k in self.table.keys]
         self.find = regex.compile(pattern).findall
@@ -114,19 +126,35 @@ class Encoder(dict):
         self.words = [str(i) for i in range(len(self.bytes))]
 
     def learn(self, pieces: set[str]) -> None:
-        if not (new := [p for p in pieces if p not in self]):
-            return
-        keys = [p.encode("utf-8", "surrogatepass") for p in new]
-        known, ids = self.table.keys, self.slot_ids
-        for p, key, slot in zip(new, keys, self.table.slots(keys).tolist(), strict=True):
-            self[p] = (ids[slot],) if slot >= 0 and known[slot] == key else merge_bytes(key, self.ranks)
+        older, missing = self.older, []
+        for p in pieces.difference(self):
+            if (ids := older.get(p)) is not None:
+                self[p] = ids
+            else:
+                missing.append(p)
+        keys = [p.encode("utf-8", "surrogatepass") for p in missing]
+        known, ids, ranks, first = self.table.keys, self.slot_ids, self.ranks, self.first
+        for p, key, slot in zip(missing, keys, self.table.slots(keys).tolist(), strict=True):
+            self[p] = (ids[slot],) if slot >= 0 and known[slot] == key else merge_bytes(key, ranks, first)
+
+    def encode_all(self, texts: list[str], most: int = 1 << 20) -> Iterator[list[int]]:
+        """The ids of each text. The new pre-tokens of texts of up to `most` characters together are looked up at once."""
+        at = 0
+        while at < len(texts):
+            if len(self) > self.memo:
+                self.older = dict(self)
+                self.clear()
+            pieces, size = [], 0
+            while at < len(texts) and (not pieces or size + len(texts[at]) <= most):
+                pieces.append(self.find(texts[at]))
+                size += len(texts[at])
+                at += 1
+            self.learn(set().union(*pieces))
+            for own in pieces:
+                yield [*chain.from_iterable(map(self.__getitem__, own))]
 
     def encode(self, text: str) -> list[int]:
-        if len(self) > self.memo:
-            self.clear()
-        pieces = self.find(text)
-        self.learn(set(pieces))
-        return [*chain.from_iterable(map(self.__getitem__, pieces))]
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -156,8 +184,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
         sha = hashlib.sha256
         for batch in slices(batches, 512):
             n, a, b, all_ids = [], [], [], []
-            for text in column(batch, "text"):
-                ids = own.encode(text or "")
+            for ids in own.encode_all([t or "" for t in column(batch, "text")]):
                 n.append(len(ids))
                 a.append(sha(" ".join(map(own.words.__getitem__, ids)).encode()).hexdigest())
                 b.append(sha(own.decode(ids)).hexdigest())
