@@ -1,6 +1,9 @@
 """A training-data pipeline over `documents`: STAGES in order, each written as Parquet and read again by the next.
 
 Labels are those of the query's folds. Every stage but the last returns the columns of documents.
+
+Defined results, in every stage: null and empty texts are empty; texts are read whole; repeated rows are rows of their own (exact copies, of which the third stage
+keeps one); null ids, languages and sources are carried as they are; further columns are carried along, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
