@@ -41,7 +41,6 @@ CLASSES = {
     "tiny": "AGS",
     "small": "AGSCTDNPV",
 }
-PROPERTIES = ["weight", "pi", "hydrophobicity", "charge", "volume", "surface", "flexibility"]
 
 
 def _text(c: Column) -> Column:
@@ -57,18 +56,23 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def nucleotide_composition(sequence: Column) -> dict[str, Column]:
-    """Eleven features; U counts as T, other letters only in the length."""
+def base_counts(sequence: Column) -> dict[str, Column]:
+    """length, the count of each base and of CG, U counting as T. Selected first, they are computed once for all features."""
     s = F.translate(_text(sequence), "U", "T")
-    n = F.length(s).cast("double")
-    a, t, g, c = (counted(s, x) for x in "ATGC")
+    return {"length": F.length(s).cast("double")} | {x: counted(s, x) for x in (*BASES, "CG")}
+
+
+def nucleotide_composition(sequence: Column | None, counts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Eleven features; U counts as T, other letters only in the length. counts: columns that hold base_counts already."""
+    each = counts or base_counts(sequence)
+    n, (a, t, g, c) = each["length"], (each[x] for x in BASES)
     gc = g + c
     melting = F.when(n == 0, 0.0).when(n < 14, 4.0 * gc + 2.0 * (a + t)).otherwise(64.9 + 41.0 * (gc - 16.4) / n)
     return {
         "length": n, "freq_A": _share(a, n), "freq_T": _share(t, n), "freq_G": _share(g, n), "freq_C": _share(c, n),
         "gc_content": _share(gc, n), "at_content": _share(a + t, n),
         "gc_skew": _share(g - c, gc), "at_skew": _share(a - t, a + t),
-        "cpg_oe": F.when((c == 0) | (g == 0), F.lit(0.0)).otherwise(counted(s, "CG") / (c * g / n)),
+        "cpg_oe": F.when((c == 0) | (g == 0), F.lit(0.0)).otherwise(each["CG"] / (c * g / n)),
         "melting_temp": melting,
     }
 

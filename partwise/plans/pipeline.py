@@ -115,6 +115,12 @@ def _computed(entities: DataFrame, config: Entity, sets: Sequence[str]) -> DataF
         vectors = read_embeddings(own.sparkSession, config.embedding_file, entities)
         size = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
         own = aligned_embeddings(own, vectors, "entity", "embedding", size)
+    if "nucleotide_composition" in sets and "nucleotide_composition" not in registered:
+        bases = sequences.base_counts(key)
+        own = own.select("*", *[c.alias(f"_n_{k}") for k, c in bases.items()])
+    if "sequence_properties" in sets and "sequence_properties" not in registered:
+        residues = sequences.residue_counts(key)
+        own = own.select("*", *[c.alias(f"_r_{k}") for k, c in residues.items()])
     for s in sets:
         if s in elements and s not in registered and s != "mat2vec_embedding":
             own = own.withColumn(f"_{s}", materials.looked_up(key, materials.literal_map(elements[s][0])))
@@ -131,6 +137,14 @@ def _computed(entities: DataFrame, config: Entity, sets: Sequence[str]) -> DataF
         elif s == "precomputed_embedding" and s not in registered:
             parts.append(F.col("embedding"))
             told = [f"emb_{i}" for i in range(size)]
+        elif s == "nucleotide_composition" and s not in registered:
+            both = sequences.nucleotide_composition(None, {k: F.col(f"_n_{k}") for k in bases})
+            parts.append(F.array(*both.values()))
+            told = [*both]
+        elif s == "sequence_properties" and s not in registered:
+            both = sequences.sequence_properties(None, {k: F.col(f"_r_{k}") for k in residues})
+            parts.append(F.array(*both.values()))
+            told = [*both]
         else:
             parts.append(_set(s, key))
             told = None if s in registered or s == "mat2vec_embedding" else feature_names([s], 0)

@@ -129,8 +129,10 @@ SELECT doc_id, {", ".join(f"round(CASE WHEN n = 0 THEN 0 ELSE {x} / n END, 9) AS
  round(CASE WHEN n = 0 THEN 0 WHEN n < 14 THEN 4.0 * (g + c) + 2.0 * (a + t) ELSE 64.9 + 41.0 * (g + c - 16.4) / n END, 9) AS melting_temp
 FROM (SELECT doc_id, CAST(length(s) AS DOUBLE) AS n, {", ".join(f"CAST({_n(x.upper())} AS DOUBLE) AS {x}" for x in "atgc")}, CAST({_n('CG')} AS DOUBLE) AS cg FROM (SELECT doc_id, {_S} AS s FROM documents))""")
 def nucleotide_composition(spark, d):
-    rows = _read(spark, d, "documents")
-    return rows.select("doc_id", *[(c if k == "length" else F.round(c, 9)).alias(k) for k, c in sequences.nucleotide_composition(F.col("text")).items()])
+    counts = sequences.base_counts(F.col("text"))
+    rows = _read(spark, d, "documents").select("doc_id", *[c.alias(f"n_{k}") for k, c in counts.items()])
+    cols = sequences.nucleotide_composition(None, {k: F.col(f"n_{k}") for k in counts})
+    return rows.select("doc_id", *[(c if k == "length" else F.round(c, 9)).alias(k) for k, c in cols.items()])
 
 
 def _pair(x: str, y: str) -> str:
