@@ -237,6 +237,16 @@ def test_line_limits(docs):
     assert lines.filtered(docs([])).count() == 0
 
 
+def test_line_hosts(spark):
+    """A null host is a host of its own, by which lines are counted apart; clashing columns don't matter; limits may be of no host."""
+    common = "follow us on every channel for daily news and offers today"
+    rows = [(i, None if i % 2 else "a", f"{common}\n" + " ".join(words(60)), 1) for i in range(140)] + [(None, None, None, 1), (7, "b", "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, line int")
+    got = lines.filtered(df, least=50, share=0.02).collect()
+    assert len(got) == 142 and sum(r.removed_words == 11 for r in got) == 140
+    assert all(r.removed_words == 0 for r in lines.filtered(df, least=100).collect())
+
+
 # ---- licences
 
 
@@ -538,6 +548,27 @@ def test_chat_query(spark):
         assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_chat_edges(spark):
+    """Null conversations, turns, roles and texts, repeated turns, an empty log; each message once, in order."""
+    rows = [(None, 0, "user", "a"), (1, None, "user", "b"), (1, 0, None, "c"), (1, 0, "assistant", None), (1, 0, "assistant", None), (1, 1, "assistant", "d" * 20_000), (1, 1, "user", "e")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(chat.messages(chat.log_of(df))).collect()}
+    assert set(got) == {None, 1} and got[None].n_turns == 1 and got[1].n_turns == 6 and got[1].loss_chars == 20_000
+    said = [("user", "b"), ("", "c"), ("assistant", ""), ("assistant", ""), ("assistant", "d" * 20_000), ("user", "e")]
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in said).encode()).hexdigest()
+    assert chat.digests(chat.messages(chat.log_of(df.where("false")))).count() == 0
+
+
+def test_chat_of_edits_and_regenerations(spark):
+    """Events out of order in the table, of several messages at once."""
+    events = [(1, 0, 1, 3, "delta", None, "lo"), (1, 0, 1, 0, "start", "user", None), (1, 0, 1, 2, "delta", None, "hel"), (1, 1, 1, 0, "start", "assistant", None), (1, 1, 1, 1, "delta", None, "bad"),
+              (1, 1, 1, 2, "regenerate", None, None), (1, 1, 1, 3, "delta", None, "good"), (1, 2, 1, 0, "start", "user", None), (1, 2, 1, 1, "delta", None, "x"), (1, 2, 1, 5, "edit", None, "y")]
+    df = spark.createDataFrame(events, "conv_id long, turn long, message long, seq long, kind string, role string, text string")
+    got = chat.messages(df).orderBy("turn").collect()
+    assert [chat.read_back(r.rendered)[0] for r in got] == [("user", "hello"), ("assistant", "good"), ("user", "y")]
+    assert [chat.unescape(r.rendered[r.loss_from : r.loss_to]) for r in got] == ["", "good", ""]
+
+
 # ---- mixture
 
 
@@ -586,6 +617,15 @@ def test_mixture(spark):
     assert mixing.mixed(df.where("false")).count() == 0
 
 
+def test_mixture_of_equal_rows(spark):
+    """Rows equal in every column are all kept; null columns and a single source make no difference."""
+    df = spark.createDataFrame([(1, None, None)] * 500 + [(None, "a", "t")] * 70, "doc_id long, source string, text string")
+    got = mixing.mixed(df, block_rows=4)
+    assert got.where("epoch = 0").count() == 570 and got.where("epoch = 0 and source = 'a'").count() == 70
+    one = mixing.mixed(df.where("source = 'a'")).collect()
+    assert len(one) == 70 and {r.slot for r in one} == {0, 1, 2}
+
+
 def test_mixture_of_given_weights(spark):
     """300 sources, and weights that leave a source many epochs; every slot within one block of its share."""
     df = spark.range(3000).select("id", F.concat(F.lit("s"), F.col("id") % 300).alias("source"))
