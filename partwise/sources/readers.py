@@ -1,7 +1,7 @@
 """Readers: every format gives a DataFrame with `_row_id` (text), set before any filter.
 
 Line and record formats are read by Spark's text reader and parsed with column functions; whole-file formats by its binary
-reader, one record for each file. Rows are numbered in the JVM from counts of partitions, so columns are still pruned at the scan.
+reader, one record for each file. Rows are numbered in the JVM from counts of files' splits, so columns are still pruned at the scan.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ RESIDUES = {
 }
 SOLVENTS = "HOH WAT DOD SO4 PO4 GOL EDO PEG PGE DMS ACT FMT CL NA MG ZN CA MN FE CU CO NI K BR IOD CIT TAR MPD BME DTT TRS MES HED EPE IPA ACE NH4 NO3".split()
 NUMBERED = {v[0]: e for e, v in ELEMENTS.items()}
+#: In the metadata of a `_row_id` that is the row's number, not a name.
+ROW_NUMBER = "row_number"
 # Formats by extension.
 EXTENSIONS = {
     ".csv": "csv", ".tsv": "tsv", ".json": "json", ".parquet": "parquet", ".smi": "smiles", ".smiles": "smiles", ".fasta": "fasta", ".fa": "fasta",
@@ -36,15 +39,18 @@ EXTENSIONS = {
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with `_row_id`, its dense number in file order as text: the rows of the partitions before, and the place in its own. One count for
-    each partition is broadcast; no row leaves the JVM or its partition."""
+    """df with `_row_id`, its dense number in file order as text: files by path and each from its first row, although Spark deals splits out by
+    size; rows that come from no file are in the order of their partitions. One count for each split is broadcast; no row leaves the JVM or its partition."""
     own = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    sizes = df.select(F.spark_partition_id().cast("long").alias("_part")).groupBy("_part").agg(F.count("*").alias("_n"))
-    sizes = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    found = own.withColumn("_part", part).join(F.broadcast(sizes), "_part")
-    number = F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)
-    return found.select(number.cast("string").alias("_row_id"), *[F.col(f"`{c}`") for c in df.columns])
+    try:
+        own = own.withColumns({"_file": F.col("_metadata.file_path"), "_part": F.col("_metadata.file_block_start")})
+    except AnalysisException:  # no file is read, or it is below an operator that hides it
+        own = own.withColumns({"_file": F.lit(""), "_part": F.shiftright("_at", 33)})
+    sizes = own.groupBy("_file", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    sizes = sizes.select("_file", "_part", (F.sum("_n").over(Window.orderBy("_file", "_part")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    found = own.join(F.broadcast(sizes), ["_file", "_part"])
+    number = F.col("_at") + F.col("_shift")
+    return found.select(number.cast("string").alias("_row_id", metadata={ROW_NUMBER: True}), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def typed(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,10 +7,10 @@ import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partwise.sources.readers import numbered
+from partwise.sources.readers import ROW_NUMBER, numbered
 
 
 def with_split(rows: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -90,9 +90,19 @@ def write_splits(rows: DataFrame, assignment: DataFrame, names: Sequence[str], f
             copy_files(own, to)
 
 
-def indices(rows: DataFrame, assignment: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(split, position) of each row in a split, counted from 0 in the rows as they are, after filters; in the order of both."""
-    at = numbered(rows.select(F.col("_row_id").alias("_own"))).select(F.col("_row_id").cast("long").alias("position"), F.col("_own").alias("_row_id"))
+def indices(rows: DataFrame, assignment: DataFrame, names: Sequence[str], position: str | None = None, piece: int = 1 << 16) -> DataFrame:
+    """(split, position) of each row in a split, in the order of both. position: the column that numbers the rows, where the input has one;
+    else they are counted from 0 after filters, in the order of their numbers, or as they are if `_row_id` is a name."""
+    if position:
+        at = rows.select(F.col(position).cast("long").alias("position"), "_row_id")
+    elif rows.schema["_row_id"].metadata.get(ROW_NUMBER):
+        own = rows.select("_row_id", F.col("_row_id").cast("long").alias("_at")).withColumn("_piece", F.floor(F.col("_at") / piece))
+        sizes = own.groupBy("_piece").agg(F.count("*").alias("_n"))  # one row for each piece
+        sizes = sizes.select("_piece", (F.sum("_n").over(Window.orderBy("_piece")) - F.col("_n") - 1).alias("_before"))
+        nth = F.row_number().over(Window.partitionBy("_piece").orderBy("_at"))
+        at = own.withColumn("_nth", nth).join(sizes, "_piece").select((F.col("_before") + F.col("_nth")).alias("position"), "_row_id")
+    else:
+        at = numbered(rows.select(F.col("_row_id").alias("_own"))).select(F.col("_row_id").cast("long").alias("position"), F.col("_own").alias("_row_id"))
     return with_split(at, assignment).where(F.col("split").isin(*names)).select("split", "position").orderBy("split", "position")
 
 

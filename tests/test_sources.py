@@ -1,10 +1,14 @@
 import json
 
+import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from partwise.operators.filters import Filter
 from partwise.plans.config import parse
 from partwise.plans.pipeline import run
+from partwise.queries import QUERIES, SQL
 from partwise.sources import readers, writers
 
 
@@ -148,3 +152,29 @@ def test_element_tables(spark):
         assert pipeline.feature_names(entity.features, 20)[0] == "d_electron_mean"
     finally:
         pipeline.elements["electronic"] = pipeline.TABLES["electronic"]
+
+
+def test_row_numbers_follow_files_of_unlike_sizes(spark, tmp_path):
+    """Spark reads the largest file first; numbers and positions follow the paths, also after a filter."""
+    for name, first, n in (("a", 0, 3), ("b", 3, 4000), ("c", 4003, 20)):
+        spark.range(first, first + n, 1, 1).toDF("doc_id").toPandas().to_parquet(str(tmp_path / f"{name}.parquet"))
+        (tmp_path / f"{name}.smi").write_text("".join(f"C m{i}\n" for i in range(first, first + n)))
+    got = readers.read_parquet(spark, f"{tmp_path}/*.parquet")
+    assert all(int(r._row_id) == r.doc_id for r in got.collect()) and got.count() == 4023
+    kept = got.where("doc_id % 2 = 1")
+    split = kept.select("_row_id", F.when(F.col("doc_id") < 3, "train").otherwise("test").alias("split"))
+    assert [tuple(r) for r in writers.indices(kept, split, ["train", "test"]).collect()] == [*(("test", i) for i in range(1, 2011)), ("train", 0)]
+    lines = readers.numbered(spark.read.text(f"{tmp_path}/*.smi"))
+    assert all(r.value == f"C m{r._row_id}" for r in lines.collect())
+
+
+def test_ml_indices_equal_sql_on_files_out_of_order(spark, tmp_path):
+    """Files of unlike sizes, ids out of order, with gaps and twice."""
+    ids = [[5, 9, 2], [*range(40, 3000)], [7000, 1, 1, 3005]]
+    for i, own in enumerate(ids):
+        (tmp_path / "documents.parquet").mkdir(exist_ok=True)
+        pd.DataFrame({"doc_id": own, "text": ["x"] * len(own)}).to_parquet(str(tmp_path / f"documents.parquet/part-{i}.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = duck.execute(SQL["ml_indices"]).fetchall()
+    assert sorted(map(tuple, QUERIES["ml_indices"](spark, str(tmp_path)).collect())) == sorted(expected)
