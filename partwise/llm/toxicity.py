@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,8 @@ WORD = re.compile(r"[^\W_]+")
 UNTAUGHT = (-2.5, 1.0, 0.1, 0.0)
 #: What arcs multiply a match by.
 WITH_TARGET, NEGATED, REPORTED = 1.3, 0.3, 0.5
-#: Words of fewer letters than the first prefix, or more than the last one, are stems as a whole, with this mark.
-PREFIXES, END = range(4, 13), "$"
+#: Words of fewer letters than the first prefix, or more than the last one, are stems as a whole, with this mark; those of more than LONGEST by a digest.
+PREFIXES, END, LONGEST = range(4, 13), "$", 64
 
 #: state -> class -> arcs (class written, weight, next state); and the states in which a reading may end.
 Arcs = dict[int, dict[int, list[tuple[int, float, int]]]]
@@ -159,7 +160,7 @@ class Grammar:
 
     def stem(self, word: str) -> float:
         """The weight of the whole word, else of its longest learnt prefix; 0: none."""
-        if (w := self.stems.get(word + END)) is not None:
+        if (w := self.stems.get(whole(word))) is not None:
             return w
         return next((w for n in self.lengths if n <= len(word) and (w := self.stems.get(word[:n])) is not None), 0.0)
 
@@ -214,10 +215,17 @@ class Grammar:
         self.scale = tuple(w.tolist())
 
 
+def whole(word: str) -> str:
+    """The stem of the word as a whole, of bounded length."""
+    if len(word) > LONGEST:
+        word = f"{word[: PREFIXES[-1]]}_{blake2b(word.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"  # no word holds a _
+    return word + END
+
+
 def stems_of(word: str) -> list[str]:
     """What a word may be known by."""
-    whole = [] if len(word) in PREFIXES else [word + END]
-    return whole + [word[:n] for n in PREFIXES if n <= len(word)]
+    own = [] if len(word) in PREFIXES else [whole(word)]
+    return own + [word[:n] for n in PREFIXES if n <= len(word)]
 
 
 def _stem_rows(batches: Iterator[pa.RecordBatch], per_document: int) -> Iterator[pa.RecordBatch]:
@@ -256,9 +264,9 @@ def learn(docs: DataFrame, labels: DataFrame, where, per_class: int = 2000, most
     )
     strong = counts.where("t >= 4 and t >= 4 * n").orderBy(F.desc("t"), "stem").limit(most_stems).collect()
     roots = {r.stem for r in strong if _clear(r.t, r.n)}
-    roots = sorted(p for p in roots if not any(p[:k] in roots for k in range(PREFIXES[0], len(p))))
+    roots = sorted(p for p in roots if not any(p[:k] in roots for k in PREFIXES if k < len(p)))
     starts = spark.createDataFrame([(r,) for r in roots], "root string")
-    heads = F.transform(F.sequence(F.lit(1), F.length("stem")), lambda n: F.substring("stem", F.lit(1), n))
+    heads = F.array(*[F.substring("stem", 1, n) for n in PREFIXES], "stem")  # what a root may be
     forms = counts.withColumn("root", F.explode(heads)).join(F.broadcast(starts), "root", "left_semi").select("stem", "t", "n").distinct().collect()
     grammar = Grammar(weights({r.stem: (r.t, r.n) for r in forms}))
     shared = spark.sparkContext.broadcast(grammar.stems)

@@ -699,6 +699,16 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_words_of_any_length_are_learnt(spark):
+    """A word of 60,000 letters is one stem, known as a whole; it has no 60,000 prefixes."""
+    long = "ab" * 30_000
+    texts = [f"you are a {long} x{i} and the {long} y{i} of dork{i}" if i < 10 else f"a calm text about z{i}" for i in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    grammar = toxicity.learn(docs, spark.createDataFrame([(i, int(i < 10)) for i in range(40)], "doc_id long, toxic int"), F.lit(True))
+    assert grammar.stem(long) > 0 and grammar.score(texts[0]) > 0.5 > grammar.score(texts[20])
+    assert max(map(len, grammar.stems)) < 80 and toxicity.whole(long) != toxicity.whole(long + "a") and toxicity.whole("no") == "no$"
+
+
 # ---- pipeline
 
 
